@@ -36,9 +36,17 @@ GROUP_CELLS = 60_000  # blocks, padding included, that pass the network at a tim
 GAP = "\n\n"
 
 
-@lru_cache(maxsize=MEMO)
-def _word(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) % WORDS
+class Buckets(dict):
+    """Bucket of each word seen lately; emptied when it has grown to MEMO words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = k = zlib.crc32(word.encode("utf-8", "replace")) % WORDS
+        return k
+
+
+_BUCKETS = Buckets()
 
 
 @lru_cache(maxsize=MEMO)
@@ -53,22 +61,25 @@ def _path(path: tuple[str, ...]) -> np.ndarray:
     return v
 
 
-def features(page: list[Leaf]) -> np.ndarray:
-    x = np.zeros((len(page), INPUT), dtype=np.float32)
-    for k, leaf in enumerate(page):
-        words = leaf.text.lower().split(" ")
-        x[k, :PATH] = _path(leaf.path)
-        counts = np.bincount([_word(w) for w in words], minlength=WORDS)
-        x[k, PATH : PATH + WORDS] = counts / len(words)
-        x[k, PATH + WORDS :] = (
-            np.log1p(len(words)) / 4,
-            min(1.0, leaf.link_chars / len(leaf.text)),
-            leaf.text[-1] in ".!?:\"'",
-            k / len(page),
-            len(leaf.path) / 10,
-            1,
-        )
-    return x
+def features(pages: list[list[Leaf]]) -> list[np.ndarray]:
+    """The vectors of all blocks of each page."""
+    every = [leaf for page in pages for leaf in page]
+    x = np.zeros((len(every), INPUT), dtype=np.float32)
+    if every:
+        words = [leaf.text.lower().split(" ") for leaf in every]
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        buckets = np.fromiter((_BUCKETS[w] for one in words for w in one), dtype=np.int64, count=int(sizes.sum()))
+        counts = np.bincount(np.repeat(np.arange(len(every)), sizes) * WORDS + buckets, minlength=len(every) * WORDS)
+        x[:, :PATH] = [_path(leaf.path) for leaf in every]
+        x[:, PATH : PATH + WORDS] = counts.reshape(-1, WORDS) / sizes[:, None]
+        ratios = x[:, PATH + WORDS :]
+        ratios[:, 0] = np.log1p(sizes) / 4
+        ratios[:, 1] = [min(1.0, leaf.link_chars / len(leaf.text)) for leaf in every]
+        ratios[:, 2] = [leaf.text[-1] in ".!?:\"'" for leaf in every]
+        ratios[:, 3] = [k / len(page) for page in pages for k in range(len(page))]
+        ratios[:, 4] = [len(leaf.path) / 10 for leaf in every]
+        ratios[:, 5] = 1
+    return np.split(x, np.cumsum([len(p) for p in pages])[:-1])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -192,7 +203,8 @@ def made(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
         page = leaves(maker.page())
         if page:
             truth = np.array(["\x02" in leaf.text for leaf in page])
-            out.append((features([leaf._replace(text=leaf.text.replace("\x02", "") or "-") for leaf in page]), truth))
+            clean = [leaf._replace(text=leaf.text.replace("\x02", "") or "-") for leaf in page]
+            out.append((features([clean])[0], truth))
     return out
 
 
@@ -225,7 +237,7 @@ def main_texts(model: Labeller, pages: list[str | None]) -> list[str]:
     out = []
     for k in range(0, len(pages), 64):  # so many pages' features at a time
         parsed = [leaves(p) for p in pages[k : k + 64]]
-        kept = model.label([features(p) for p in parsed])
+        kept = model.label(features(parsed))
         out += [GAP.join(leaf.text for leaf, yes in zip(p, keep, strict=True) if yes) for p, keep in zip(parsed, kept, strict=True)]
     return out
 
