@@ -277,11 +277,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The document with the smallest doc_id of each component; of repeated rows of that doc_id, one row.
 
-    Documents without doc_id belong to no component that can be named, and all stay.
+    Documents without doc_id belong to no component that can be named, and all stay. Texts are shuffled once.
     """
-    labelled = near_duplicates(docs, doc_id, text).filter("doc_id = component_id").select("doc_id").distinct()
-    numbered = docs.join(labelled.withColumnRenamed("doc_id", doc_id), doc_id, "left_semi")
-    return numbered.dropDuplicates([doc_id]).unionByName(docs.filter(F.col(f"`{doc_id}`").isNull()))
+    name = F.col(f"`{doc_id}`")
+    heads = near_duplicates(docs, doc_id, text).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    heads = stage(heads.withColumnRenamed("doc_id", doc_id), "simhash-heads")
+    kept = docs.join(heads.filter("rows = 1").select(name), doc_id, "left_semi")
+    twice = heads.filter("rows > 1").select(name)
+    if not twice.isEmpty():
+        kept = kept.unionByName(docs.join(twice, doc_id, "left_semi").dropDuplicates([doc_id]))
+    return kept.unionByName(docs.filter(name.isNull()))
 
 
 def hex_digits(fp: F.Column) -> F.Column:
