@@ -4,8 +4,8 @@ Filters of several widths slide over embedded UTF-8 bytes of fixed-length window
 filter, and a softmax layer names the language. The network is trained in numpy on a bounded sample of labelled
 rows; prediction covers all windows of the whole text, weighs each window by its letters, and averages.
 
-The sample: of every label, PER_LABEL rows with the least hash of their text, a piece of PIECE characters of each
-at a place set by that hash; at most MAX_LABELS labels. All other work covers all rows, in the scan stage.
+The sample: of every label about PER_LABEL rows, chosen by hash, and a piece of PIECE characters of each at a place set
+by that hash; at most MAX_LABELS labels, the most frequent. All other work covers all rows, in the scan stage.
 
 Defined results. Null text, or a text without a letter, gives `und` and score 0. With no labelled row everything
 is `und` with score 0. Repeated rows are predicted independently and alike. Empty tables give empty results. Input
@@ -18,7 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,17 +160,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[str]]:
-    """The bounded training sample: (pieces, labels)."""
-    body, h = F.col("text"), F.xxhash64("text")
+    """The bounded training sample: (pieces, labels). The id chooses rows and is not part of it."""
+    body = F.col("text")
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     rows = rows.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & body.isNotNull() & F.col("lang").isNotNull())
+    many = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect()}
+    if not many:
+        return [], []
+    h = F.xxhash64("doc_id", "text")
     place = F.pmod(h, F.greatest(F.length(body) - PIECE, F.lit(0)) + 1) + 1
-    rows = rows.select("lang", h.alias("h"), F.substr(body, place.cast("int"), F.lit(PIECE)).alias("piece"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
-    rows = rows.withColumn("nth", nth).filter(F.col("nth") <= PER_LABEL)
-    found = rows.orderBy("nth", "lang").limit(PER_LABEL * MAX_LABELS).select("lang", "piece").collect()
-    names = set(list(dict.fromkeys(r.lang for r in found))[:MAX_LABELS])
-    pairs = sorted((r.lang, r.piece) for r in found if r.lang in names)
+    bound = F.lit(0)
+    for name, n in many.items():
+        bound = F.when(F.col("lang") == name, min(1 << 30, (PER_LABEL << 30) // n + 1)).otherwise(bound)
+    rows = rows.filter(F.pmod(F.shiftrightunsigned(h, 8), F.lit(1 << 30)) < bound)
+    found = rows.select("lang", F.substr(body, place.cast("int"), F.lit(PIECE)).alias("piece")).limit(2 * PER_LABEL * len(many)).collect()
+    pairs = sorted((r.lang, r.piece) for r in found)
     return [p for _, p in pairs], [name for name, _ in pairs]
 
 
