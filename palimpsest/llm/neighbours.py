@@ -6,7 +6,7 @@ its nearest centroid and its residual is encoded. Cells are packed into shards o
 is spread over many, so no task holds a cell.
 
 Search. A query visits the cells nearest to it; how many is calibrated on the sample so that TARGET of the true
-neighbours lie in them. In a shard, which a task holds while queries stream by, an asymmetric distance table gives
+neighbours lie in them, LEAST_CANDIDATES vectors at least. In a shard, which a task holds while queries stream by, an asymmetric distance table gives
 each candidate a score by look-ups alone; the best RERANK are scored again as exact cosines, in double precision, on
 the original vectors. The results of a query's shards are merged by rank.
 
@@ -32,6 +32,7 @@ SUB_DIM = 4
 CODES = 256
 MAX_CELLS = 1024
 TARGET = 0.98
+LEAST_CANDIDATES = 2048
 RERANK = 96
 SHARD_LOW, SHARD_HIGH, SHARDS = 512, 16384, 64
 ROUNDS = 12
@@ -100,7 +101,8 @@ def fit(sample: np.ndarray, n_rows: int, k: int, seed: int = 5) -> Codec:
     rank = np.argsort(np.argsort(-(asked @ centroids.T), axis=1, kind="stable"), axis=1)
     needed = np.sort(np.take_along_axis(rank, at[near], axis=1).ravel())
     probes = int(needed[math.ceil(TARGET * len(needed)) - 1]) + 1 if len(needed) else 1
-    return Codec(centroids, np.stack(books), min(cells, probes))
+    least = math.ceil(cells * LEAST_CANDIDATES / n_rows)
+    return Codec(centroids, np.stack(books), min(cells, max(probes, least)))
 
 
 def usable(vector: Column) -> Column:
