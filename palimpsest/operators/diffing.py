@@ -64,5 +64,13 @@ def _text(value, t):
 
 def counts(changes: DataFrame) -> dict[str, int]:
     """Rows added, deleted and updated, in one aggregate."""
-    row = changes.agg(*[F.count_if(F.col("status") == s).alias(s) for s in (INSERTED, DELETED, UPDATED)]).first()
-    return {"added": row[INSERTED], "deleted": row[DELETED], "updated": row[UPDATED]}
+    return summary(changes, [])[0]
+
+
+def summary(changes: DataFrame, columns: list[str]) -> tuple[dict[str, int], list[str]]:
+    """`counts`, and which of the columns differ in some updated row, in the same aggregate."""
+    rows = [F.count_if(F.col("status") == s).alias(s) for s in (INSERTED, DELETED, UPDATED)]
+    hits = [F.bool_or(F.array_contains("changed", c)).alias(f"c{k}") for k, c in enumerate(columns)]
+    row = changes.agg(*rows, *hits).first()
+    hit = [c for k, c in enumerate(columns) if row[f"c{k}"]]
+    return {"added": row[INSERTED], "deleted": row[DELETED], "updated": row[UPDATED]}, hit

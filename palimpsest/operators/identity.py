@@ -41,13 +41,15 @@ def compute_row_ids(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     bad = [k for k in keys if any(x in df.schema[k].dataType.simpleString() for x in ("map<", "variant"))]
     if bad:
         raise ValueError(f"columns of this type cannot be a key: {bad}")
-    nulls = df.select(*[F.count_if(quoted(k).isNull()).alias(f"k{i}") for i, k in enumerate(keys)]).first()
-    if any(nulls):
-        raise ValueError(f"null in key columns {[k for k, n in zip(keys, nulls, strict=True) if n]}")
     out = df.select(key_text(keys).alias(RID), *[quoted(c) for c in df.columns])
-    twice = out.groupBy(RID).count().filter(F.col("count") > 1).limit(1).collect()
-    if twice:
-        raise ValueError(f"the key {list(keys)} repeats, for example {twice[0][RID]!r}")
+    null = [F.count_if(quoted(k).isNull()).alias(f"k{i}") for i, k in enumerate(keys)]
+    groups = out.groupBy(RID).agg(F.count("*").alias("n"), *null)
+    row = groups.agg(*[F.sum(f"k{i}").alias(f"k{i}") for i in range(len(keys))], F.max(F.when(F.col("n") > 1, F.col(RID))).alias("twice")).first()
+    nulls = [k for i, k in enumerate(keys) if row[f"k{i}"]]
+    if nulls:
+        raise ValueError(f"null in key columns {nulls}")
+    if row["twice"] is not None:
+        raise ValueError(f"the key {list(keys)} repeats, for example {row['twice']!r}")
     return out
 
 
@@ -126,7 +128,7 @@ class ContentMatchIdentity(IdentityStrategy):
     def assign(self, df, parent, version, keep):
         # The ordinal is written down once: recomputed, it could come out otherwise.
         new = keep(df.withColumn(ORD, F.monotonically_increasing_id()))
-        fresh = F.substring(F.sha2(F.concat_ws(":", F.lit(version), F.col(ORD)), 256), 1, 32)
+        fresh = F.concat(F.lit(f"{version}."), F.lower(F.hex(ORD)))  # short, and neighbours are alike: it packs well
         if parent is None:
             out = new.withColumn(RID, fresh)
             return keep(out.drop(ORD)), out.select(RID, F.lit("insert").alias("method"), F.lit(None).cast("double").alias("confidence"))

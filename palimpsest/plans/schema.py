@@ -26,9 +26,20 @@ def user_fields(schema: T.StructType) -> list[T.StructField]:
     return [f for f in schema.fields if f.name != RID]
 
 
+def relaxed(t: T.DataType) -> T.DataType:
+    """The type with null allowed at every level, as Parquet gives it back."""
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(relaxed(t.elementType), True)
+    if isinstance(t, T.MapType):
+        return T.MapType(relaxed(t.keyType), relaxed(t.valueType), True)
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, relaxed(f.dataType), True) for f in t.fields])
+    return t
+
+
 def user_schema(df: DataFrame) -> T.StructType:
-    """The schema without row ids, every column nullable."""
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in user_fields(df.schema)])
+    """The schema without row ids, null allowed everywhere."""
+    return T.StructType([T.StructField(f.name, relaxed(f.dataType), True) for f in user_fields(df.schema)])
 
 
 def check_names(df: DataFrame) -> None:

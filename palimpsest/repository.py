@@ -171,7 +171,7 @@ class Repository:
             filled = filled | F.col("new").getField(c).isNotNull()
         # One join over the table; only what differs is kept, and every component is read from that.
         changes = keep(changes.filter((F.col("status") != diffing.SAME) | filled))
-        stats = diffing.counts(changes)
+        stats, names = diffing.summary(changes, columns.common)
         stats |= {"columns_added": len(columns.added), "columns_removed": len(columns.removed), "types_changed": len(types)}
 
         of = lambda s: changes.filter(F.col("status") == s)
@@ -184,8 +184,6 @@ class Repository:
             write(of(diffing.DELETED).select(RID), f"{draft}/deletes")
             components["deletes"] = True
         if stats["updated"]:
-            hit = {r["column"] for r in diffing.changed_columns(changes).collect()}
-            names = [c for c in columns.common if c in hit]
             value = lambda c: F.struct(F.col("new").getField(c).alias("v"))
             cells = [F.when(F.array_contains("changed", c), value(c)).alias(f"{CELL}{k}") for k, c in enumerate(names)]
             write(of(diffing.UPDATED).select(RID, *cells), f"{draft}/updates")
