@@ -14,14 +14,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from palimpsest.functions.canon import CanonConfig, content_key, token
+from palimpsest.functions.canon import NULL_TOKEN, CanonConfig, content_key, token
 from palimpsest.functions.similarity import SimConfig, string_ratio
 from palimpsest.plans.schema import RID, is_numeric, quoted
 
 ORD = "__ord__"
 SALTS = 32
+BIN_ROWS = 4_000
+NULL_TEXT = "\x00"
 MATCH_SCHEMA = f"{ORD} long, {RID} string, method string, confidence double"
 
 
@@ -67,26 +68,29 @@ def column_scales(new: DataFrame, parent: DataFrame, columns: list[str]) -> dict
     return {c: next((v for v in (row[f"s{k}"], row[f"r{k}"]) if good(v)), 1.0) for k, c in enumerate(names)}
 
 
-def similarity_matrix(new: pd.DataFrame, old: pd.DataFrame, kinds: list[float | None], cfg: SimConfig) -> np.ndarray:
-    """Mean cell similarity of all pairs. kinds: the scale of a numeric column c<k>, or None for text."""
-    total = np.zeros((len(new), len(old)))
-    for k, scale in enumerate(kinds):
-        a, b = new[f"c{k}"], old[f"c{k}"]
+def cell_arrays(df: pd.DataFrame, kinds: list[float | None]) -> list[np.ndarray]:
+    """Columns c0, c1, ... as arrays: numbers with NaN for null, text with the null token."""
+    return [df[f"c{k}"].to_numpy(dtype=float) if s is not None else df[f"c{k}"].fillna(NULL_TEXT).to_numpy(dtype=object) for k, s in enumerate(kinds)]
+
+
+def similarity_matrix(new: list[np.ndarray], old: list[np.ndarray], kinds: list[float | None], cfg: SimConfig) -> np.ndarray:
+    """Mean cell similarity of all pairs. kinds: the scale of a numeric column, or None for text."""
+    total = np.zeros((len(new[0]), len(old[0])))
+    for a, b, scale in zip(new, old, kinds, strict=True):
         if scale is not None:
-            x, y = a.to_numpy(dtype=float)[:, None], b.to_numpy(dtype=float)[None, :]
+            x, y = a[:, None], b[None, :]
             with np.errstate(invalid="ignore"):
                 gap = np.abs(x - y)
                 sim = np.where(gap <= cfg.num_rel_tol * scale, 1.0, np.maximum(0.0, 1.0 - gap / scale))
             none_a, none_b = np.isnan(x), np.isnan(y)
             total += np.where(none_a & none_b, 1.0, np.where(none_a | none_b, 0.0, np.nan_to_num(sim)))
             continue
-        left, ia = np.unique(a.fillna("\x00").to_numpy(dtype=str), return_inverse=True)
-        right, ib = np.unique(b.fillna("\x00").to_numpy(dtype=str), return_inverse=True)
+        left, right = {v: k for k, v in enumerate(dict.fromkeys(a))}, {v: k for k, v in enumerate(dict.fromkeys(b))}
         small = np.zeros((len(left), len(right)))
-        for i, u in enumerate(left):
-            for j, v in enumerate(right):
-                small[i, j] = 1.0 if u == v else string_ratio(u, v) if cfg.string_soft and "\x00" not in (u, v) else 0.0
-        total += small[ia][:, ib]
+        for u, i in left.items():
+            for v, j in right.items():
+                small[i, j] = 1.0 if u == v else string_ratio(u, v) if cfg.string_soft and NULL_TEXT not in (u, v) else 0.0
+        total += small[[left[v] for v in a]][:, [right[v] for v in b]]
     return total / max(1, len(kinds))
 
 
@@ -104,36 +108,47 @@ def greedy_pairs(sim: np.ndarray, threshold: float) -> list[tuple[int, int, floa
     return out
 
 
-def fuzzy_pairs(new: DataFrame, parent: DataFrame, columns: list[str], blocks: list[str], scales: dict[str, float], canon: CanonConfig, sim: SimConfig, max_pairs: int) -> DataFrame:
+def fuzzy_pairs(new: DataFrame, parent: DataFrame, columns: list[str], blocks: list[str], scales: dict[str, float], canon: CanonConfig, sim: SimConfig, max_pairs: int, bins: int) -> DataFrame:
     """(__ord__, __rid__, confidence) inside blocks of at most max_pairs pairs.
 
     In a larger block each side is cut to its first rows, as many as the bound allows: the rest become inserts and deletes.
+    Blocks are dealt into bins, so that a call from Spark into Python serves many small ones.
     """
     side = max(1, int(max_pairs**0.5))
     kinds = [scales.get(c) for c in columns]
+    plain = CanonConfig(None, False, False)
 
     def cells(df: DataFrame, unique: str) -> DataFrame:
         block = content_key(df, blocks, canon)
-        cell = lambda c: quoted(c).cast("double") if c in scales else F.nullif(token(quoted(c), df.schema[c].dataType, CanonConfig(None, False, False)), F.lit("\x00null"))
+        cell = lambda c: quoted(c).cast("double") if c in scales else F.nullif(token(quoted(c), df.schema[c].dataType, plain), F.lit(NULL_TOKEN))
         out = df.select(unique, block["a"].alias("ba"), block["b"].alias("bb"), *[cell(c).alias(f"c{k}") for k, c in enumerate(columns)])
         nth = F.row_number().over(Window.partitionBy("ba", "bb").orderBy(unique))
-        return out.withColumn("nth", nth).filter(F.col("nth") <= max_pairs).drop("nth")
+        return out.withColumn("nth", nth).filter(F.col("nth") <= max_pairs).drop("nth").withColumn("bin", F.pmod("ba", F.lit(bins)))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if len(a) * len(b) > max_pairs:  # the smaller side stays whole where it can
-            n = min(len(a), max(side, max_pairs // len(b)))
-            a, b = a.iloc[:n], b.iloc[: max(1, max_pairs // n)]
-        found = greedy_pairs(similarity_matrix(a, b, kinds, sim), sim.row_threshold) if len(a) and len(b) else []
+        """All blocks of a bin, each by itself."""
         ids, parents = a[ORD].to_numpy(), b[RID].to_numpy(dtype=object)
+        left, right = cell_arrays(a, kinds), cell_arrays(b, kinds)
+        there = b.groupby(["ba", "bb"]).indices if len(b) else {}
+        found: list[tuple[int, str, float]] = []
+        for key, i in (a.groupby(["ba", "bb"]).indices if len(a) else {}).items():
+            j = there.get(key)
+            if j is None:
+                continue
+            if len(i) * len(j) > max_pairs:  # the smaller side stays whole where it can
+                i = i[: max(side, max_pairs // len(j))]
+                j = j[: max(1, max_pairs // len(i))]
+            score = similarity_matrix([c[i] for c in left], [c[j] for c in right], kinds, sim)
+            found += [(int(ids[i[r]]), str(parents[j[c]]), s) for r, c, s in greedy_pairs(score, sim.row_threshold)]
         return pd.DataFrame(
             {
-                ORD: np.array([ids[i] for i, _, _ in found], dtype=np.int64),
-                RID: pd.Series([str(parents[j]) for _, j, _ in found], dtype=object),
-                "confidence": np.array([s for _, _, s in found], dtype=np.float64),
+                ORD: np.array([x[0] for x in found], dtype=np.int64),
+                RID: pd.Series([x[1] for x in found], dtype=object),
+                "confidence": np.array([x[2] for x in found], dtype=np.float64),
             }
         )
 
-    left, right = cells(new, ORD).groupBy("ba", "bb"), cells(parent, RID).groupBy("ba", "bb")
+    left, right = cells(new, ORD).groupBy("bin"), cells(parent, RID).groupBy("bin")
     return left.cogroup(right).applyInPandas(pair, f"{ORD} long, {RID} string, confidence double")
 
 
@@ -159,10 +174,11 @@ def match_versions(
         return MatchResult(exact_out)
     left_new = keep(new.join(exact.select(ORD), ORD, "left_anti"))
     left_old = keep(parent.join(exact.select(RID), RID, "left_anti"))
-    if left_new.isEmpty() or left_old.isEmpty():
+    n_new, n_old = left_new.count(), left_old.count()
+    if not n_new or not n_old:
         return MatchResult(exact_out)
     blocks = [c for c in (block_on or []) if c in columns]
     scales = column_scales(new, parent, columns)
-    fuzzy = fuzzy_pairs(left_new, left_old, columns, blocks, scales, canon, sim, max_block_pairs)
+    fuzzy = fuzzy_pairs(left_new, left_old, columns, blocks, scales, canon, sim, max_block_pairs, 8 + (n_new + n_old) // BIN_ROWS)
     fuzzy = fuzzy.select(ORD, RID, F.lit("fuzzy").alias("method"), "confidence")
     return MatchResult(keep(exact_out.unionByName(fuzzy)))
