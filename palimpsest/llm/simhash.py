@@ -282,10 +282,11 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     name = F.col(f"`{doc_id}`")
     heads = near_duplicates(docs, doc_id, text).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     heads = stage(heads.withColumnRenamed("doc_id", doc_id), "simhash-heads")
-    kept = docs.join(heads.filter("rows = 1").select(name), doc_id, "left_semi")
+    # As many ids as documents: never to be broadcast, so the same plan at every size.
+    kept = docs.join(heads.filter("rows = 1").select(name).hint("merge"), doc_id, "left_semi")
     twice = heads.filter("rows > 1").select(name)
     if not twice.isEmpty():
-        kept = kept.unionByName(docs.join(twice, doc_id, "left_semi").dropDuplicates([doc_id]))
+        kept = kept.unionByName(docs.join(twice.hint("merge"), doc_id, "left_semi").dropDuplicates([doc_id]))
     return kept.unionByName(docs.filter(name.isNull()))
 
 
