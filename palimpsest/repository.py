@@ -15,6 +15,7 @@ from palimpsest.plans.replay import CELL, materialize, version_schema
 from palimpsest.plans.schema import RID, check_names, column_diff, quoted, type_changes, user_schema
 from palimpsest.sources.files import StoreError
 from palimpsest.sources.store import Store
+from palimpsest.sources.workspace import ship
 
 STATS = ("added", "deleted", "updated", "columns_added", "columns_removed", "types_changed")
 
@@ -65,12 +66,14 @@ class Repository:
         if (primary_key is None) == (identity is None):
             raise ValueError("give either a primary key or an identity strategy")
         identity = identity or PrimaryKeyIdentity(primary_key)
+        ship(spark)
         store = Store(spark, root)
         store.create({"identity": identity.to_config(), "snapshot_interval": snapshot_interval}, overwrite)
         return cls(store, identity, snapshot_interval)
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Repository:
+        ship(spark)
         store = Store(spark, root)
         config = store.config()
         return cls(store, make_identity(config["identity"]), config.get("snapshot_interval"))
