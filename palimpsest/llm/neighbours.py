@@ -8,7 +8,10 @@ is spread over many, so no task holds a cell.
 Search. A query visits the cells nearest to it; how many is calibrated on the sample so that TARGET of the true
 neighbours lie in them, LEAST_CANDIDATES vectors at least. In a shard, which a task holds while queries stream by, an asymmetric distance table gives
 each candidate a score by look-ups alone; the best RERANK are scored again as exact cosines, in double precision, on
-the original vectors. The results of a query's shards are merged by rank.
+the original vectors. So is every other candidate that could still be among the k best: a look-up score is off by at
+most the length of what the codes leave of the row, and that length is known. So no candidate of the visited cells is
+lost to the codes, also where near-copies are too close for the codes to tell apart. The results of a query's shards
+are merged by rank.
 
 Defined results. Vectors that are null, empty, zero, hold null or non-finite components, or have not the most usual
 length of the sample take no part, nor do rows without vec_id. Rows repeated with one vec_id and vector count once.
@@ -34,6 +37,7 @@ MAX_CELLS = 1024
 TARGET = 0.98
 LEAST_CANDIDATES = 2048
 RERANK = 96
+ROUNDING = 1e-9
 SHARD_LOW, SHARD_HIGH, SHARDS = 512, 16384, 64
 ROUNDS = 12
 
@@ -62,6 +66,13 @@ class Codec(NamedTuple):
             code[:, p] = _nearest(rest[:, p], book)
         return cell, code
 
+    def gaps(self, unit: np.ndarray, cell: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Lengths of what centroid and codewords leave of each row: no look-up score is off by more."""
+        left = self.split(unit - self.centroids[cell])
+        for p, book in enumerate(self.books):
+            left[:, p] -= book[code[:, p]]
+        return np.sqrt(np.einsum("nps,nps->n", left, left)) + ROUNDING
+
     def tables(self, unit: np.ndarray) -> np.ndarray:
         """Asymmetric tables (n, parts, codes): products of a query's parts with every codeword."""
         return np.einsum("nps,pcs->npc", self.split(unit), self.books)
@@ -121,15 +132,24 @@ def _score(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _best(q: np.ndarray, table: np.ndarray, probe: np.ndarray, held, k: int) -> list[tuple[int, float]]:
-    """The k best (vec_id, score) of one query in a shard."""
-    vectors, ids, cells, codes, codec = held
+    """The k best (vec_id, score) of one query in a shard: exact among the rows of the cells in probe."""
+    vectors, ids, cells, codes, gaps, codec = held
     rows = np.flatnonzero(np.isin(cells, probe))
-    if len(rows) > RERANK:
-        rough = (codec.centroids[cells[rows]] @ (q / np.linalg.norm(q))) + table[np.arange(len(table)), codes[rows]].sum(axis=1)
-        rows = rows[np.argpartition(-rough, RERANK)[:RERANK]]
     if not len(rows):
         return []
-    score = _score(q, vectors[rows])
+    if len(rows) > max(RERANK, k):
+        rough = (codec.centroids[cells[rows]] @ (q / np.linalg.norm(q))) + table[np.arange(len(table)), codes[rows]].sum(axis=1)
+        order = np.argpartition(-rough, max(RERANK, k) - 1)
+        first, others = order[: max(RERANK, k)], order[max(RERANK, k) :]
+        score = _score(q, vectors[rows[first]])
+        least = np.partition(score, len(score) - k)[len(score) - k]
+        others = others[rough[others] + gaps[rows[others]] >= least]  # what may still be as near as the k-th
+        score = np.concatenate([score, _score(q, vectors[rows[others]])])
+        rows = rows[np.concatenate([first, others])]
+        near = score >= np.partition(score, len(score) - k)[len(score) - k]
+        rows, score = rows[near], score[near]
+    else:
+        score = _score(q, vectors[rows])
     found = [(-s, i) for r, s in zip(rows, score.tolist(), strict=True) for i in ids[r]]
     return [(i, -s) for s, i in sorted(found)[:k]]
 
@@ -236,7 +256,9 @@ def search(vectors: DataFrame, asked: Column, k: int, vec_id: str = "vec_id", ve
                 if held is None and parts:
                     t = pa.Table.from_batches(parts).combine_chunks()
                     codes = np.frombuffer(b"".join(t.column("code").to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
-                    held = (_matrix(t.column("vec").combine_chunks(), codec.dim), t.column("ids").to_pylist(), t.column("cell").to_numpy(), codes, codec)
+                    x, cells = _matrix(t.column("vec").combine_chunks(), codec.dim), t.column("cell").to_numpy()
+                    gaps = codec.gaps(x / np.linalg.norm(x, axis=1, keepdims=True), cells, codes)
+                    held = (x, t.column("ids").to_pylist(), cells, codes, gaps, codec)
                 if held is None:
                     continue
                 q = _matrix(b.column("vec"), codec.dim)

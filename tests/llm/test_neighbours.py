@@ -69,3 +69,22 @@ def test_recall_on_the_test_table(spark):
     want = brute(rows, range(0, 500, 50), 5)
     got = op3_nearest_neighbours(spark, "/root/testdata/sf0.01").collect()
     assert np.mean([r.vec_id in {i for i, _ in want[r.query_id]} for r in got]) >= 0.9
+
+
+def test_recall_among_near_copies(spark):
+    """A third of the rows in one group whose members the codes cannot tell apart; cells are pruned."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 32))
+    alike = centres[0] + rng.normal(size=(7000, 32)) * 1e-3
+    rest = centres[rng.integers(0, 40, 14000)] + rng.normal(size=(14000, 32)) * 0.4
+    x = np.concatenate([alike, rest])
+    got = run(spark, list(enumerate(x.tolist())), 100)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    codec = neighbours.fit(x[rng.permutation(len(x))], len(x), 5)
+    assert codec.probes < len(codec.centroids)
+    hits = []
+    for q in range(0, len(x), 100):
+        s = unit @ unit[q]
+        s[q] = -2
+        hits.append(len({i for i, _ in got[q]} & set(np.argpartition(-s, 5)[:5].tolist())) / 5)
+    assert np.mean(hits[:70]) >= 0.9 and np.mean(hits) >= 0.9
