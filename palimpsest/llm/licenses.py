@@ -9,6 +9,13 @@ Where to align. A place with the threshold coverage holds at least one of any `m
 the template, so those most telling ones are looked for. Each occurrence foretells where the template would begin;
 occurrences that foretell nearly the same are one region. So several copies in a text are found each by itself.
 
+Insertions. A region reaches a little beyond the template's length, so a longer insertion parts a notice. What lies
+outside the regions found is therefore searched again with gaps of any length: of all places where two neighbouring words
+of the template are neighbours in the text, the longest run rising in both is taken. Single words do not count there, as
+the common ones occur in any long text. What stands in a gap is looked at by itself: only a finding within one piece of a
+longer one is left out. Coverage then counts to a little beyond the template's length after enough has been met: a last
+part behind another long insertion does not raise it.
+
 Defined results. Null and blank texts, and texts without a license, give no row. Texts of any length are read whole.
 Repeated rows give repeated results; empty tables give empty results; extra columns are ignored.
 """
@@ -17,6 +24,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -128,6 +136,42 @@ def align(a: list[str], b: list[str], a_lo: int = 0, a_hi: int | None = None) ->
     return sorted(out)
 
 
+def _parted(words: list[str], t: Template, lo: int, hi: int, least: float) -> list[list[tuple[int, int]]]:
+    """Alignments of at least `least` words in words[lo:hi], with gaps of any length between runs of two words or more."""
+    at: dict[tuple[str, str], list[int]] = {}
+    for j in range(len(t.words) - 1):
+        at.setdefault((t.words[j], t.words[j + 1]), []).append(j)
+    pairs = {(k + d, j + d) for k in range(lo, hi - 1) for j in at.get((words[k], words[k + 1]), ()) for d in (0, 1)}
+    rest, out = sorted(pairs, key=lambda p: (p[0], -p[1])), []
+    while rest:
+        tops: list[int] = []
+        end = None
+        for k, j in rest:  # where enough has been met first
+            p = bisect_left(tops, j)
+            tops[p : p + 1] = [j]
+            if len(tops) >= least:
+                end = k + len(t.words) - j + max(2, len(t.words) // 4)
+                break
+        if end is None:
+            break
+        here = [p for p in rest if p[0] < end]
+        # From behind, so that the alignment begins as late as it can.
+        back = _rising(sorted(((-k, -j) for k, j in here), key=lambda p: (p[0], -p[1])))
+        out.append([(-k, -j) for k, j in back[::-1]])
+        rest = [p for p in rest if p[0] > out[-1][-1][0]]
+    return out
+
+
+def _pieces(pairs: list[tuple[int, int]], slack: int) -> list[tuple[int, int]]:
+    """(first, past last) text places of stretches of an alignment without a gap longer than slack."""
+    out = [[pairs[0][0], pairs[0][0] + 1]]
+    for k, _ in pairs[1:]:
+        if k - out[-1][1] > slack:
+            out.append([k, k + 1])
+        out[-1][1] = k + 1
+    return [(a, b) for a, b in out]
+
+
 def scan_text(text: str | None, templates: list[Template], threshold: float = THRESHOLD) -> list[tuple[str, float, int, int]]:
     """(template, coverage, first word, past last word) of everything found; a template inside a longer one is left out."""
     if not text:
@@ -141,7 +185,7 @@ def scan_text(text: str | None, templates: list[Template], threshold: float = TH
     for k, w in enumerate(words):
         if w in where:
             where[w].append(k)
-    found = []
+    found, pieces, bag = [], [], Counter(words)
     for t in asked:
         size = len(t.words)
         slack = max(2, size // 4)
@@ -156,8 +200,16 @@ def scan_text(text: str | None, templates: list[Template], threshold: float = TH
             pairs = align(words, t.words, max(0, first - slack), min(len(words), last + size + slack))
             if len(pairs) >= threshold * size:
                 found.append((t.name, len(pairs) / size, pairs[0][0], pairs[-1][0] + 1))
-    inside = lambda x, y: x is not y and y[2] <= x[2] and x[3] <= y[3] and (y[3] - y[2], y[1]) > (x[3] - x[2], x[1])
-    kept = {(x[0], x[2]): x for x in found if not any(inside(x, y) for y in found)}
+                pieces.append([found[-1][2:]])
+        if sum(min(n, bag[w]) for w, n in Counter(t.words).items()) < threshold * size:
+            continue
+        taken = sorted(x[2:] for x in found if x[0] == t.name)
+        for lo, hi in zip([0, *(x[1] for x in taken)], [*(x[0] for x in taken), len(words)], strict=True):
+            for pairs in _parted(words, t, lo, hi, threshold * size):
+                found.append((t.name, len(pairs) / size, pairs[0][0], pairs[-1][0] + 1))
+                pieces.append(_pieces(pairs, slack))
+    inside = lambda x, y, parts: any(a <= x[2] and x[3] <= b and (b - a, y[1]) > (x[3] - x[2], x[1]) for a, b in parts)
+    kept = {(x[0], x[2]): x for x in found if not any(x is not y and inside(x, y, p) for y, p in zip(found, pieces, strict=True))}
     return sorted(kept.values(), key=lambda x: (x[2], x[0]))
 
 

@@ -56,3 +56,23 @@ def test_frame(spark):
     got = sorted((r.doc_id or -1, r.license) for r in licenses.scan(df).collect())
     assert got == [(-1, "All-rights-reserved"), (3, "MIT-notice"), (3, "MIT-notice")]
     assert licenses.scan(df.limit(0)).collect() == []
+
+
+def test_insertions_of_any_length():
+    made = licenses.compile_templates()
+    rng = random.Random(4)
+    filler = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "of", "and"]) for _ in range(n))
+    got = licenses.scan_text("Licensed under the terms and conditions of the Apache License, Version 2.0", made)
+    assert got == [("Apache-2.0-notice", 1.0, 0, 12)]
+    for name in ("MIT", "BSD-2-Clause", "Apache-2.0-header", "GPL-3.0-header"):
+        words = licenses.TEMPLATES[name].split()
+        half = len(words) // 2
+        for gap in (len(words) // 2, len(words), 3000):
+            text = f"{filler(20)} {' '.join(words[:half])} {filler(gap)} {' '.join(words[half:])} {filler(20)}"
+            got = [x for x in licenses.scan_text(text, made) if x[0] == name]
+            assert len(got) == 1 and got[0][1] >= 0.95 and got[0][2] >= 18
+    # A notice in the gap is found by itself; lone words far apart are no notice.
+    words = licenses.TEMPLATES["MIT"].split()
+    text = f"{' '.join(words[:50])} {filler(300)} All rights reserved {filler(300)} {' '.join(words[50:])}"
+    assert [x[0] for x in licenses.scan_text(text, made)] == ["MIT", "All-rights-reserved"]
+    assert licenses.scan_text(f"all {filler(50)} rights {filler(50)} reserved", made) == []
