@@ -10,6 +10,8 @@ takes so many whole epochs, then the longest prefix of the next epoch that still
 in two steps, sums over hash ranges of about BUCKET rows and then exact running sums within one range, so no task holds
 a leaf. What remains is one comparison for each document with its leaf's cut-off: texts are never shuffled.
 
+Unit. Tokens here are words between white space, not tokens of a vocabulary; a text without spaces counts about one a line.
+
 Defined results. Null text has no tokens and is selected only with whole epochs. Null labels form a leaf of their own
 (NONE). Rows equal in id and text share a place in the order and are taken or left together. A leaf without tokens takes
 nothing. Unknown nodes have weight 1; weight 0 excludes. An empty table gives an empty result. Columns that clash with
