@@ -76,3 +76,16 @@ def test_insertions_of_any_length():
     text = f"{' '.join(words[:50])} {filler(300)} All rights reserved {filler(300)} {' '.join(words[50:])}"
     assert [x[0] for x in licenses.scan_text(text, made)] == ["MIT", "All-rights-reserved"]
     assert licenses.scan_text(f"all {filler(50)} rights {filler(50)} reserved", made) == []
+
+
+def test_versions_and_variants_are_told_apart():
+    made = licenses.compile_templates()
+    names = lambda text: [x[0] for x in licenses.scan_text(text, made)]
+    gnu = "This work is licensed under the GNU {}General Public License, version {}".format
+    assert names(gnu("", 2)) == ["GPL-2.0-notice"] and names(gnu("", "3.0")) == ["GPL-3.0-notice"] and names(gnu("", 1)) == []
+    assert names(gnu("Lesser ", "2.1")) == ["LGPL-2.1-notice"] and names(gnu("Affero ", 3)) == ["AGPL-3.0-notice"]
+    assert names("Licensed under CC BY-ND 4.0") == ["CC-BY-ND-4.0-notice"] and names("Licensed under CC BY 3.0") == []
+    three = licenses.TEMPLATES["BSD-3-Clause"]
+    assert names(three) == ["BSD-3-Clause"] and names(licenses.TEMPLATES["BSD-2-Clause"]) == ["BSD-2-Clause"]
+    for name in ("MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "ISC", "CC0-1.0"):
+        assert names(licenses.TEMPLATES[name]) == [name]
