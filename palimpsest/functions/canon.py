@@ -31,7 +31,7 @@ def token(value: Column, t: T.DataType, cfg: CanonConfig) -> Column:
         text = F.when(whole, x.cast("long").cast("string")).otherwise(x.cast("string"))
     elif isinstance(t, T.StringType):
         text = F.regexp_replace(value, r"(?U)^\s+|\s+$", "") if cfg.strip_strings else value
-        text = F.lower(text) if cfg.case_insensitive else text
+        text = F.lower(F.upper(text)) if cfg.case_insensitive else text  # upper first: it writes out the likes of ß
     elif isinstance(t, T.BinaryType):
         text = F.hex(value)
     elif any(x in t.simpleString() for x in ("<", "variant")):

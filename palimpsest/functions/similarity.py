@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +45,53 @@ def string_ratio(a: str, b: str) -> float:
     return 2.0 * lcs_length(a, b) / n if n else 1.0
 
 
+def short_lcs(a: list[str], b: list[str]) -> np.ndarray:
+    """(len(a), len(b)): lcs_length of all pairs; the strings of b hold at most 64 characters.
+
+    The strings of b are the columns of one vector, a machine word each, through which every string of a passes.
+    """
+    sizes = np.array([len(y) for y in b], dtype=np.int64)
+    full = np.array([(1 << len(y)) - 1 for y in b], dtype=np.uint64)
+    where: dict[str, np.ndarray] = {}
+    for j, y in enumerate(b):
+        for k, c in enumerate(y):
+            if c not in where:
+                where[c] = np.zeros(len(b), dtype=np.uint64)
+            where[c][j] |= np.uint64(1 << k)
+    out = np.empty((len(a), len(b)), dtype=np.int64)
+    for i, x in enumerate(a):
+        free = full
+        for c in x:
+            hits = where.get(c)
+            if hits is not None:
+                grown = free & hits
+                free = ((free + grown) | (free - grown)) & full
+        out[i] = sizes - np.bitwise_count(free)
+    return out
+
+
+def string_ratios(a: list[str], b: list[str], need: np.ndarray | None = None) -> np.ndarray:
+    """(len(a), len(b)): string_ratio of all pairs. Where need is given, a ratio that cannot reach it may come out as 0."""
+    la, lb = np.array([len(x) for x in a], dtype=np.int64), np.array([len(y) for y in b], dtype=np.int64)
+    total = la[:, None] + lb[None, :]
+    lcs = np.zeros(total.shape, dtype=np.int64)
+    short_b, short_a = np.flatnonzero(lb <= 64), np.flatnonzero(la <= 64)
+    long_b = np.flatnonzero(lb > 64)
+    lcs[:, short_b] = short_lcs(a, [b[j] for j in short_b])
+    if len(long_b) and len(short_a):
+        lcs[np.ix_(short_a, long_b)] = short_lcs([b[j] for j in long_b], [a[i] for i in short_a]).T
+    if len(long_b) and len(short_a) < len(a):
+        chars_a = {i: Counter(a[i]) for i in np.flatnonzero(la > 64).tolist()}
+        chars_b = {j: Counter(b[j]) for j in long_b.tolist()}
+        for i, x in chars_a.items():
+            for j, y in chars_b.items():
+                want = 0.0 if need is None else need[i, j] * total[i, j] / 2
+                if min(la[i], lb[j]) >= want and (want <= 0 or (x & y).total() >= want):
+                    lcs[i, j] = lcs_length(a[i], b[j])
+    with np.errstate(invalid="ignore"):
+        return np.where(total > 0, 2.0 * lcs / np.maximum(total, 1), 1.0)
+
+
 def numeric_ratio(a: float, b: float, scale: float, tol: float) -> float:
     """1 within the tolerance, then falling linearly to 0 at one scale."""
     gap = abs(a - b)

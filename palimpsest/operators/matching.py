@@ -3,12 +3,17 @@
 First an exact multiset join on canonical content: the k-th of equal new rows meets the k-th of equal parent rows.
 Numbers are given in salted groups, whose sizes are summed first, so that a content repeated in a third of all rows does
 not meet in one task. What is left is compared inside blocks: cells are scored by kind, a row by their mean, and pairs
-are taken best first, one to one, from the threshold upwards. A wrong pair costs storage, never a wrong version.
+are taken best first, one to one, from the threshold upwards; a hash of the pair decides between equal scores. A block of
+any size is compared in full: a large one is cut into tiles of bounded size, every row keeps its best candidates, and rows
+that are each other's best are linked round by round, which gives the same links as one sorted list of all pairs would.
+A wrong pair costs storage, never a wrong version.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,14 +21,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.canon import NULL_TOKEN, CanonConfig, content_key, token
-from palimpsest.functions.similarity import SimConfig, string_ratio
+from palimpsest.functions.similarity import SimConfig, string_ratios
 from palimpsest.plans.schema import RID, is_numeric, quoted
 
 ORD = "__ord__"
 SALTS = 32
 BIN_ROWS = 4_000
+#: Rows on the longer side of a tile at most, and candidates that a row keeps of each tile.
+MAX_SIDE = 100_000
+DEPTH = 8
 NULL_TEXT = "\x00"
 MATCH_SCHEMA = f"{ORD} long, {RID} string, method string, confidence double"
+Keep = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -48,11 +57,16 @@ def numbered(df: DataFrame, key: str, unique: Column) -> DataFrame:
     return out.withColumn("nth", F.col("__in") + F.col("__before")).drop("__u", "__salt", "__in", "__before")
 
 
-def exact_pairs(new: DataFrame, parent: DataFrame, columns: list[str], canon: CanonConfig) -> DataFrame:
-    """(__ord__, __rid__) of the multiset join."""
+def exact_join(new: DataFrame, parent: DataFrame, columns: list[str], canon: CanonConfig, how: str = "full_outer") -> DataFrame:
+    """(__ord__, __rid__) of the multiset join; a row of either side that has no partner stands alone."""
     a = numbered(new.select(ORD, content_key(new, columns, canon).alias("k")), "k", F.col(ORD))
     b = numbered(parent.select(RID, content_key(parent, columns, canon).alias("k")), "k", F.col(RID))
-    return a.join(b, ["k", "nth"]).select(ORD, RID)
+    return a.join(b, ["k", "nth"], how).select(ORD, RID)
+
+
+def exact_pairs(new: DataFrame, parent: DataFrame, columns: list[str], canon: CanonConfig) -> DataFrame:
+    """(__ord__, __rid__) of the pairs alone."""
+    return exact_join(new, parent, columns, canon, "inner")
 
 
 def column_scales(new: DataFrame, parent: DataFrame, columns: list[str]) -> dict[str, float]:
@@ -74,82 +88,221 @@ def cell_arrays(df: pd.DataFrame, kinds: list[float | None]) -> list[np.ndarray]
 
 
 def similarity_matrix(new: list[np.ndarray], old: list[np.ndarray], kinds: list[float | None], cfg: SimConfig) -> np.ndarray:
-    """Mean cell similarity of all pairs. kinds: the scale of a numeric column, or None for text."""
-    total = np.zeros((len(new[0]), len(old[0])))
-    for a, b, scale in zip(new, old, kinds, strict=True):
+    """Mean cell similarity of all pairs. kinds: the scale of a numeric column, or None for text.
+
+    The sum runs in the order of the columns, so a pair scores the same in any company. Ratios of two long texts are
+    found only for pairs that can still reach the threshold with them; others come out below it.
+    """
+    shape = (len(new[0]), len(old[0]))
+    parts: list[np.ndarray] = []
+    soft: list[tuple[int, list[str], np.ndarray, list[str], np.ndarray]] = []
+    for k, (a, b, scale) in enumerate(zip(new, old, kinds, strict=True)):
         if scale is not None:
             x, y = a[:, None], b[None, :]
             with np.errstate(invalid="ignore"):
                 gap = np.abs(x - y)
                 sim = np.where(gap <= cfg.num_rel_tol * scale, 1.0, np.maximum(0.0, 1.0 - gap / scale))
             none_a, none_b = np.isnan(x), np.isnan(y)
-            total += np.where(none_a & none_b, 1.0, np.where(none_a | none_b, 0.0, np.nan_to_num(sim)))
+            parts.append(np.where(none_a & none_b, 1.0, np.where(none_a | none_b, 0.0, np.nan_to_num(sim))))
             continue
-        left, right = {v: k for k, v in enumerate(dict.fromkeys(a))}, {v: k for k, v in enumerate(dict.fromkeys(b))}
-        small = np.zeros((len(left), len(right)))
-        for u, i in left.items():
-            for v, j in right.items():
-                small[i, j] = 1.0 if u == v else string_ratio(u, v) if cfg.string_soft and NULL_TEXT not in (u, v) else 0.0
-        total += small[[left[v] for v in a]][:, [right[v] for v in b]]
+        (code_a, left), (code_b, right) = pd.factorize(a), pd.factorize(b)
+        place = {v: i for i, v in enumerate(left)}
+        same = np.array([place.get(v, -1) for v in right])[code_b] == code_a[:, None]
+        parts.append(same.astype(float))
+        if cfg.string_soft:
+            soft.append((k, list(left), code_a, list(right), code_b))
+    open_ = {k for k, *_ in soft}  # texts not yet compared, which may still give 1
+    for k, left, code_a, right, code_b in sorted(soft, key=lambda x: max(map(len, x[1] + x[3]))):
+        open_.discard(k)
+        la, lb = np.array([len(v) for v in left]), np.array([len(v) for v in right])
+        need = None
+        if la.max() > 64 and lb.max() > 64:
+            others = sum((np.ones(shape) if j in open_ else p for j, p in enumerate(parts) if j != k), np.zeros(shape))
+            least = np.full((len(left), len(right)), np.inf)
+            np.minimum.at(least, (code_a[:, None], code_b[None, :]), cfg.row_threshold * len(kinds) - 1e-9 - others)
+            need = least
+        small = string_ratios(left, right, need)
+        small[[v == NULL_TEXT for v in left], :] = 0.0
+        small[:, [v == NULL_TEXT for v in right]] = 0.0
+        parts[k] = np.where(parts[k] == 1.0, 1.0, small[code_a][:, code_b])
+    total = np.zeros(shape)
+    for p in parts:
+        total += p
     return total / max(1, len(kinds))
 
 
-def greedy_pairs(sim: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """Best first, one to one, down to the threshold; of equal scores the first in row and column order."""
+def ties(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair (a[k], b[k]) of row hashes that decides between equal scores: 63 mixed bits."""
+    with np.errstate(over="ignore"):
+        x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+
+
+def ranked(sim: np.ndarray, threshold: float, new_hash: np.ndarray, old_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score, tie) of all pairs from the threshold upwards, best first."""
     rows, cols = np.nonzero(sim >= threshold)
-    score = sim[rows, cols]
-    out, used_r, used_c = [], set(), set()
-    for k in np.lexsort((cols, rows, -score)).tolist():
-        r, c = int(rows[k]), int(cols[k])
-        if r not in used_r and c not in used_c:
-            used_r.add(r)
-            used_c.add(c)
-            out.append((r, c, float(score[k])))
+    score, tie = sim[rows, cols], ties(new_hash[rows], old_hash[cols])
+    order = np.lexsort((tie, score))[::-1]
+    return rows[order], cols[order], score[order], tie[order]
+
+
+def greedy(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Positions of the pairs, given best first, that are taken when each row and column is used once.
+
+    Pairs that are the first of both their row and their column are taken together; that is what taking the best pair
+    again and again comes to.
+    """
+    out, live = [], np.arange(len(rows))
+    first_r, first_c = np.zeros(rows.max(initial=-1) + 1, dtype=np.int64), np.zeros(cols.max(initial=-1) + 1, dtype=np.int64)
+    free_r, free_c = np.ones(len(first_r), dtype=bool), np.ones(len(first_c), dtype=bool)
+    while len(live):
+        first_r[rows[live][::-1]] = live[::-1]  # of several the last written counts, which is the best
+        first_c[cols[live][::-1]] = live[::-1]
+        now = live[(first_r[rows[live]] == live) & (first_c[cols[live]] == live)]
+        out.append(now)
+        free_r[rows[now]] = False
+        free_c[cols[now]] = False
+        live = live[free_r[rows[live]] & free_c[cols[live]]]
+    return np.sort(np.concatenate(out)) if out else live
+
+
+def nth_of(keys: np.ndarray) -> np.ndarray:
+    """For each place the number of equal keys before it."""
+    order = np.argsort(keys, kind="stable")
+    sorted_ = keys[order]
+    begin = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(keys) else np.zeros(0, dtype=int)
+    out = np.empty(len(keys), dtype=np.int64)
+    out[order] = np.arange(len(keys)) - np.repeat(begin, np.diff(np.r_[begin, len(keys)]))
     return out
 
 
-def fuzzy_pairs(new: DataFrame, parent: DataFrame, columns: list[str], blocks: list[str], scales: dict[str, float], canon: CanonConfig, sim: SimConfig, max_pairs: int, bins: int) -> DataFrame:
-    """(__ord__, __rid__, confidence) inside blocks of at most max_pairs pairs.
+# Kinds of rows that a tile gives: a link; a candidate of the new row's list, of the parent row's, of both; the last entry
+# of a list that was cut.
+LINK, OF_NEW, OF_OLD, OF_BOTH, END_NEW, END_OLD = range(6)
+TILE_SCHEMA = f"kind int, {ORD} long, {RID} string, score double, tie long"
+
+
+def cells(df: DataFrame, unique: str, columns: list[str], blocks: list[str], scales: dict[str, float], canon: CanonConfig) -> DataFrame:
+    """What comparing needs of a row: block, hash, and its cells as numbers or texts."""
+    block = content_key(df, blocks, canon)
+    plain = CanonConfig(None, False, False)
+    cell = lambda c: quoted(c).cast("double") if c in scales else F.nullif(token(quoted(c), df.schema[c].dataType, plain), F.lit(NULL_TOKEN))
+    return df.select(unique, block["a"].alias("ba"), block["b"].alias("bb"), F.xxhash64(F.lit(3), F.col(unique)).alias("h"), *[cell(c).alias(f"c{k}") for k, c in enumerate(columns)])
 
-    In a larger block each side is cut to its first rows, as many as the bound allows: the rest become inserts and deletes.
-    Blocks are dealt into bins, so that a call from Spark into Python serves many small ones.
+
+def tile_plan(left: DataFrame, right: DataFrame, max_pairs: int) -> DataFrame:
+    """(ba, bb, n, m, ta, tb) of every block that has rows on both sides: its sizes and into how many parts each side is cut.
+
+    Tiles hold about max_pairs pairs; a side that is short stays whole, and the other is cut into longer parts.
     """
+    n = left.groupBy("ba", "bb").agg(F.count("*").alias("n"))
+    m = right.groupBy("ba", "bb").agg(F.count("*").alias("m"))
     side = max(1, int(max_pairs**0.5))
-    kinds = [scales.get(c) for c in columns]
-    plain = CanonConfig(None, False, False)
+    rows = lambda other: F.least(F.lit(max(side, MAX_SIDE)), F.greatest(F.lit(side), F.floor(F.lit(max_pairs) / F.col(other))))
+    cut = lambda own, other: F.when(F.col("n") * F.col("m") <= max_pairs, 1).otherwise(F.ceil(F.col(own) / rows(other))).cast("int")
+    return n.join(m, ["ba", "bb"]).withColumns({"ta": cut("n", "m"), "tb": cut("m", "n")})
+
 
-    def cells(df: DataFrame, unique: str) -> DataFrame:
-        block = content_key(df, blocks, canon)
-        cell = lambda c: quoted(c).cast("double") if c in scales else F.nullif(token(quoted(c), df.schema[c].dataType, plain), F.lit(NULL_TOKEN))
-        out = df.select(unique, block["a"].alias("ba"), block["b"].alias("bb"), *[cell(c).alias(f"c{k}") for k, c in enumerate(columns)])
-        nth = F.row_number().over(Window.partitionBy("ba", "bb").orderBy(unique))
-        return out.withColumn("nth", nth).filter(F.col("nth") <= max_pairs).drop("nth").withColumn("bin", F.pmod("ba", F.lit(bins)))
-
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        """All blocks of a bin, each by itself."""
-        ids, parents = a[ORD].to_numpy(), b[RID].to_numpy(dtype=object)
-        left, right = cell_arrays(a, kinds), cell_arrays(b, kinds)
-        there = b.groupby(["ba", "bb"]).indices if len(b) else {}
-        found: list[tuple[int, str, float]] = []
-        for key, i in (a.groupby(["ba", "bb"]).indices if len(a) else {}).items():
-            j = there.get(key)
+def score_tiles(left: DataFrame, right: DataFrame, plan: DataFrame, kinds: list[float | None], sim: SimConfig, bins: int) -> DataFrame:
+    """Compare the two sides of all blocks, tile by tile (TILE_SCHEMA).
+
+    A block of one tile is settled there: links. Of a larger block each row's DEPTH best candidates in each tile come out.
+    Tiles are dealt into bins, so that a call from Spark into Python serves many small ones.
+    """
+    part = F.pmod(F.col("h"), F.col("ta")).cast("int"), F.pmod(F.col("h"), F.col("tb")).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    bin_ = F.pmod(F.xxhash64("ba", "bb", "pa", "pb"), F.lit(bins)).alias("bin")
+    split = (F.col("ta") * F.col("tb") > 1).alias("split")
+    a = left.join(plan, ["ba", "bb"]).withColumn("pa", part[0]).withColumn("pb", every("tb")).select("*", split, bin_).drop("n", "m", "ta", "tb")
+    b = right.join(plan, ["ba", "bb"]).withColumn("pb", part[1]).withColumn("pa", every("ta")).select("*", bin_).drop("n", "m", "ta", "tb")
+    key = ["ba", "bb", "pa", "pb"]
+
+    def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        """All tiles of a bin, each by itself."""
+        ords, parents = x[ORD].to_numpy(), y[RID].to_numpy(dtype=object)
+        hash_x, hash_y = x["h"].to_numpy(), y["h"].to_numpy()
+        cells_x, cells_y = cell_arrays(x, kinds), cell_arrays(y, kinds)
+        there = y.groupby(key).indices if len(y) else {}
+        out = []
+        for name, i in (x.groupby(key).indices if len(x) else {}).items():
+            j = there.get(name)
             if j is None:
                 continue
-            if len(i) * len(j) > max_pairs:  # the smaller side stays whole where it can
-                i = i[: max(side, max_pairs // len(j))]
-                j = j[: max(1, max_pairs // len(i))]
-            score = similarity_matrix([c[i] for c in left], [c[j] for c in right], kinds, sim)
-            found += [(int(ids[i[r]]), str(parents[j[c]]), s) for r, c, s in greedy_pairs(score, sim.row_threshold)]
-        return pd.DataFrame(
-            {
-                ORD: np.array([x[0] for x in found], dtype=np.int64),
-                RID: pd.Series([x[1] for x in found], dtype=object),
-                "confidence": np.array([x[2] for x in found], dtype=np.float64),
-            }
-        )
-
-    left, right = cells(new, ORD).groupBy("bin"), cells(parent, RID).groupBy("bin")
-    return left.cogroup(right).applyInPandas(pair, f"{ORD} long, {RID} string, confidence double")
+            score = similarity_matrix([c[i] for c in cells_x], [c[j] for c in cells_y], kinds, sim)
+            rows, cols, score, tie = ranked(score, sim.row_threshold, hash_x[i], hash_y[j])
+            if not x["split"].iat[i[0]]:
+                at, kind = greedy(rows, cols), LINK
+            else:
+                nth_r, nth_c = nth_of(rows), nth_of(cols)
+                at = np.flatnonzero((nth_r < DEPTH) | (nth_c < DEPTH))
+                kind = OF_NEW * (nth_r[at] < DEPTH) + OF_OLD * (nth_c[at] < DEPTH)
+                for ends, own, cut in ((END_NEW, rows, nth_r), (END_OLD, cols, nth_c)):
+                    last = np.flatnonzero((cut == DEPTH - 1) & (np.bincount(own, minlength=max(len(i), len(j)))[own] > DEPTH))
+                    ids = {ORD: ords[i[own[last]]], RID: None} if ends == END_NEW else {ORD: None, RID: parents[j[own[last]]]}
+                    out.append(pd.DataFrame({"kind": ends, **ids, "score": score[last], "tie": tie[last]}))
+            out.append(pd.DataFrame({"kind": kind, ORD: ords[i[rows[at]]], RID: parents[j[cols[at]]], "score": score[at], "tie": tie[at]}))
+        if not out:
+            return pd.DataFrame({"kind": pd.Series(dtype="int32"), ORD: pd.Series(dtype="Int64"), RID: pd.Series(dtype=object), "score": pd.Series(dtype=float), "tie": pd.Series(dtype="int64")})
+        return pd.concat([o.astype({"kind": "int32", ORD: "Int64", RID: object}) for o in out], ignore_index=True)
+
+    return a.groupBy("bin").cogroup(b.groupBy("bin")).applyInPandas(pair, TILE_SCHEMA)
+
+
+def settle(found: DataFrame, keep: Keep) -> tuple[list[DataFrame], DataFrame | None, DataFrame | None]:
+    """Links among the candidates of split blocks: (links, and the ids of both sides that must be compared again, or None).
+
+    What a row's lists of all tiles hold down to the best of their cut ends is a true beginning of its order. Two rows that
+    are each other's best there are linked and leave; so until no such pair is left. A row whose list was cut and is used
+    up may still find a partner in another round of tiles.
+    """
+    key = F.struct("score", "tie")
+    ends = lambda kind, c: found.filter(F.col("kind") == kind).groupBy(c).agg(F.max(key).alias(f"end_{c}"))
+    end_new, end_old = keep(ends(END_NEW, ORD)), keep(ends(END_OLD, RID))
+    pairs = found.filter(F.col("kind").isin(OF_NEW, OF_OLD, OF_BOTH)).join(end_new, ORD, "left").join(end_old, RID, "left")
+    inside = lambda kind, c: F.col("kind").isin(kind, OF_BOTH) & F.coalesce(key >= F.col(f"end_{c}"), F.lit(True))
+    pairs = keep(pairs.select(ORD, RID, "score", "tie", inside(OF_NEW, ORD).alias("of_new"), inside(OF_OLD, RID).alias("of_old")).filter("of_new or of_old"))
+    links: list[DataFrame] = []
+    while True:
+        best = lambda own, other, flag: pairs.filter(flag).groupBy(own).agg(F.max(F.struct("score", "tie", other)).alias("best")).select(own, "best.*")  # noqa: E731, B023
+        now = keep(best(ORD, RID, "of_new").join(best(RID, ORD, "of_old").select(ORD, RID), [ORD, RID]).select(ORD, RID, "score"))
+        if now.isEmpty():
+            break
+        links.append(now)
+        pairs = keep(pairs.join(now.select(ORD), ORD, "left_anti").join(now.select(RID), RID, "left_anti"))
+    again = []
+    for c, cut in ((ORD, end_new), (RID, end_old)):
+        for one in links:
+            cut = cut.join(one.select(c), c, "left_anti")
+        again.append(keep(cut.select(c).unionByName(pairs.select(c)).distinct()))
+    if any(x.isEmpty() for x in again):
+        return links, None, None
+    return links, again[0], again[1]
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, kinds: list[float | None], sim: SimConfig, max_pairs: int, keep: Keep) -> DataFrame | None:
+    """(__ord__, __rid__, confidence) of similar rows inside blocks, best first, one to one; None if no block has both sides.
+
+    left, right: stored frames of `cells`. Every pair of a block is compared whatever the block's size; max_pairs is the
+    size of a tile.
+    """
+    links: list[DataFrame] = []
+    while True:
+        plan = keep(tile_plan(left, right, max_pairs))
+        size = plan.agg(F.sum(F.col("n") * F.col("tb") + F.col("m") * F.col("ta")).alias("rows"), F.max(F.col("ta") * F.col("tb")).alias("tiles")).first()
+        if size["rows"] is None:
+            break
+        found = keep(score_tiles(left, right, plan, kinds, sim, 8 + size["rows"] // BIN_ROWS))
+        links.append(found.filter(F.col("kind") == LINK).select(ORD, RID, "score"))
+        if size["tiles"] == 1:
+            break
+        more, again_left, again_right = settle(found, keep)
+        links += more
+        if again_left is None or again_right is None:
+            break
+        left, right = keep(left.join(again_left, ORD, "left_semi")), keep(right.join(again_right, RID, "left_semi"))
+    return reduce(DataFrame.unionByName, links).withColumnRenamed("score", "confidence") if links else None
 
 
 def match_versions(
@@ -162,23 +315,27 @@ def match_versions(
     canon: CanonConfig = CanonConfig(),
     sim: SimConfig = SimConfig(),
     max_block_pairs: int = 2_000_000,
-    keep=lambda df: df,
+    keep: Keep = lambda df: df,
 ) -> MatchResult:
-    """Match new (with unique __ord__) to parent (with __rid__). keep stores an intermediate frame (used twice) and returns it."""
+    """Match new (with unique __ord__) to parent (with __rid__). keep stores an intermediate frame and returns it."""
     there = [c for c in new.columns if c != ORD]
     common = [c for c in there if c in parent.columns]
     columns = [c for c in (compare_on or common) if c in common]
-    exact = keep(exact_pairs(new, parent, columns, canon)) if columns else new.sparkSession.createDataFrame([], f"{ORD} long, {RID} string")
-    exact_out = exact.select(ORD, RID, F.lit("exact").alias("method"), F.lit(1.0).alias("confidence"))
-    if exact_only or not columns:
-        return MatchResult(exact_out)
-    left_new = keep(new.join(exact.select(ORD), ORD, "left_anti"))
-    left_old = keep(parent.join(exact.select(RID), RID, "left_anti"))
-    n_new, n_old = left_new.count(), left_old.count()
-    if not n_new or not n_old:
-        return MatchResult(exact_out)
+    if not columns:
+        return MatchResult(new.sparkSession.createDataFrame([], MATCH_SCHEMA))
+    joined = keep(exact_join(new, parent, columns, canon, "inner" if exact_only else "full_outer"))
+    exact = joined.filter(F.col(ORD).isNotNull() & F.col(RID).isNotNull()).select(ORD, RID, F.lit("exact").alias("method"), F.lit(1.0).alias("confidence"))
+    if exact_only:
+        return MatchResult(exact)
+    alone = joined.agg(F.count_if(F.col(RID).isNull()).alias("new"), F.count_if(F.col(ORD).isNull()).alias("old")).first()
+    if not alone["new"] or not alone["old"]:
+        return MatchResult(exact)
     blocks = [c for c in (block_on or []) if c in columns]
     scales = column_scales(new, parent, columns)
-    fuzzy = fuzzy_pairs(left_new, left_old, columns, blocks, scales, canon, sim, max_block_pairs, 8 + (n_new + n_old) // BIN_ROWS)
-    fuzzy = fuzzy.select(ORD, RID, F.lit("fuzzy").alias("method"), "confidence")
-    return MatchResult(keep(exact_out.unionByName(fuzzy)))
+    left = new.join(joined.filter(F.col(RID).isNull()).select(ORD), ORD, "left_semi")
+    right = parent.join(joined.filter(F.col(ORD).isNull()).select(RID), RID, "left_semi")
+    left, right = keep(cells(left, ORD, columns, blocks, scales, canon)), keep(cells(right, RID, columns, blocks, scales, canon))
+    fuzzy = fuzzy_pairs(left, right, [scales.get(c) for c in columns], sim, max_block_pairs, keep)
+    if fuzzy is None:
+        return MatchResult(exact)
+    return MatchResult(exact.unionByName(fuzzy.select(ORD, RID, F.lit("fuzzy").alias("method"), "confidence")))

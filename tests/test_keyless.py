@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from palimpsest import ContentMatchIdentity, Repository
@@ -22,10 +23,10 @@ def people(seed=0, versions=6):
     return out
 
 
-@pytest.mark.parametrize("threshold", [0.0, 0.5, 1.0])
+@pytest.mark.parametrize("threshold", [0.0, 0.05, 0.5, 0.9, 1.0])
 def test_wrong_guesses_never_change_content(spark, tmp_path, threshold):
     repo = Repository.init(spark, f"file://{tmp_path}/r", identity=ContentMatchIdentity(block_on=["city"], row_threshold=threshold))
-    frames = [spark.createDataFrame(v, "name string, city string, salary long") for v in people(versions=4)]
+    frames = [spark.createDataFrame(v, "name string, city string, salary long") for v in people()]
     for f in frames:
         repo.commit(f)
     again = Repository.open(spark, f"file://{tmp_path}/r")
@@ -108,15 +109,63 @@ def numeric_similarity_(a, b):
     return numeric_similarity(F.col(a), F.col(b), 1.0, 0.05)
 
 
-def test_large_block_is_bounded_and_exact(spark, tmp_path):
+def test_every_row_of_a_large_block_finds_its_parent(spark, tmp_path):
+    """4,000 edited rows without a block column; tiles of any size give the same links."""
+    rows = spark.range(4000).selectExpr("id", "concat('name', id, '-', id * 7919 % 10007) n", "cast(id * 37 % 100000 as double) x", "cast(id % 5 as string) k")
+    edited = rows.withColumn("k", rows["k"] * 0 + 9).selectExpr("id", "n", "x", "cast(k as string) k")
+    repo = Repository.init(spark, f"file://{tmp_path}/r", identity=ContentMatchIdentity(compare_on=["n", "x", "k"]))
+    repo.commit(rows)
+    s = repo.commit(edited).stats
+    assert (s["updated"], s["added"], s["deleted"]) == (4000, 0, 0)
+    # The linked rows are the true ones.
+    assert repo.frame(1).join(repo.frame(2).withColumnRenamed("id", "id2"), RID).filter("id <> id2").count() == 0
+
+
+def plain_links(new, old, kinds, sim):
+    """Best first over all pairs of one block, in plain Python."""
+    scores = matching.similarity_matrix([c for c in new[1:]], [c for c in old[1:]], kinds, sim)
+    order = matching.ranked(scores, sim.row_threshold, new[0], old[0])
+    used_r, used_c, out = set(), set(), []
+    for r, c, s, _ in zip(*(x.tolist() for x in order), strict=True):
+        if r not in used_r and c not in used_c:
+            used_r.add(r)
+            used_c.add(c)
+            out.append((r, c, s))
+    return out
+
+
+@pytest.mark.parametrize("threshold,edits", [(0.6, 0.01), (0.3, 5.0), (0.0, 5.0)])
+def test_tiles_equal_one_sorted_list(spark, threshold, edits):
+    """Many equal scores, rows without partner, and lists that are cut and used up."""
     rng = random.Random(4)
-    rows = [(f"n{k}", rng.random()) for k in range(60)]
-    edited = [(n, x + 0.01) for n, x in rows]
-    repo = Repository.init(spark, f"file://{tmp_path}/r", identity=ContentMatchIdentity(max_block_pairs=100))
-    repo.commit(spark.createDataFrame(rows, "n string, x double"))
-    s = repo.commit(spark.createDataFrame(edited, "n string, x double")).stats
-    assert 1 <= s["updated"] <= 100 and s["updated"] + s["added"] == 60
-    assert equal_multisets(repo.checkout(2), spark.createDataFrame(edited, "n string, x double"))
+    old = [(f"p{k}", rng.choice("abcd") * rng.randint(0, 3), float(rng.randrange(30)), rng.choice("xy")) for k in range(170)]
+    new = [(k, t, x + rng.choice([0, edits]), b) for k, (_, t, x, b) in enumerate(rng.sample(old, 120))] + [(200 + k, None, None, "x") for k in range(20)]
+    keep = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    sim = matching.SimConfig(threshold)
+    scales = {"x": 9.0}
+    columns = ["t", "x"]
+    left = keep(matching.cells(spark.createDataFrame(new, f"{matching.ORD} long, t string, x double, b string"), matching.ORD, columns, ["b"], scales, matching.CanonConfig()))
+    right = keep(matching.cells(spark.createDataFrame(old, f"{RID} string, t string, x double, b string"), RID, columns, ["b"], scales, matching.CanonConfig()))
+    want = set()
+    a, b = left.toPandas(), right.toPandas()
+    for block in set(a.ba):
+        x, y = a[a.ba == block].reset_index(drop=True), b[b.ba == block].reset_index(drop=True)
+        for r, c, s in plain_links([x.h.to_numpy(), *matching.cell_arrays(x, [None, 9.0])], [y.h.to_numpy(), *matching.cell_arrays(y, [None, 9.0])], [None, 9.0], sim):
+            want.add((int(x[matching.ORD][r]), y[RID][c], s))
+    for size in (50, 700, 2_000_000):
+        got = {tuple(r) for r in matching.fuzzy_pairs(left, right, [None, 9.0], sim, size, keep).collect()}
+        assert got == want, size
+
+
+def test_vectorised_ratios():
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choices("abcé ", k=rng.randint(0, n)))
+    a, b = ["", "abc", *[word(n) for n in (10, 64, 65, 200) for _ in range(6)]], ["", "x", *[word(n) for n in (12, 64, 70, 300) for _ in range(6)]]
+    got = matching.string_ratios(a, b)
+    assert all(got[i, j] == string_ratio(x, y) for i, x in enumerate(a) for j, y in enumerate(b))
+    need = got + np.where(np.arange(got.size).reshape(got.shape) % 2, 0.2, -0.1)
+    some = matching.string_ratios(a, b, need)
+    assert ((some == got) | ((some == 0) & (got < need))).all()
 
 
 def test_systems_on_a_synthetic_history(spark):
