@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+CHUNK = 2048  # strings whose characters are held as masks at a time
+
+
 @dataclass(frozen=True)
 class SimConfig:
     row_threshold: float = 0.6
@@ -45,51 +48,70 @@ def string_ratio(a: str, b: str) -> float:
     return 2.0 * lcs_length(a, b) / n if n else 1.0
 
 
-def short_lcs(a: list[str], b: list[str]) -> np.ndarray:
-    """(len(a), len(b)): lcs_length of all pairs; the strings of b hold at most 64 characters.
+def _points(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All characters one after the other, and where each string begins (one place more than strings)."""
+    flat = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return flat, np.cumsum([0, *map(len, strings)])
+
+
+def short_lcs(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """lcs_length of the pairs (a[i], b[j]); the strings of b that are asked for hold at most 64 characters.
 
-    The strings of b are the columns of one vector, a machine word each, through which every string of a passes.
+    Every pair is one machine word, and all words take a step together: a character of each left string.
     """
-    sizes = np.array([len(y) for y in b], dtype=np.int64)
-    full = np.array([(1 << len(y)) - 1 for y in b], dtype=np.uint64)
-    where: dict[str, np.ndarray] = {}
-    for j, y in enumerate(b):
-        for k, c in enumerate(y):
-            if c not in where:
-                where[c] = np.zeros(len(b), dtype=np.uint64)
-            where[c][j] |= np.uint64(1 << k)
-    out = np.empty((len(a), len(b)), dtype=np.int64)
-    for i, x in enumerate(a):
-        free = full
-        for c in x:
-            hits = where.get(c)
-            if hits is not None:
-                grown = free & hits
-                free = ((free + grown) | (free - grown)) & full
-        out[i] = sizes - np.bitwise_count(free)
+    out = np.zeros(len(i), dtype=np.int64)
+    if not len(i):
+        return out
+    points_a, at_a = _points(a)
+    points_b, at_b = _points(b)
+    size_a, size_b = np.diff(at_a), np.diff(at_b)
+    order = np.lexsort((-size_a[i], j // CHUNK))
+    for part in np.split(order, np.flatnonzero(np.diff(j[order] // CHUNK)) + 1):
+        left, right = i[part], j[part]  # the longest left strings first, so that those still running are a beginning
+        low, high = at_b[right.min() // CHUNK * CHUNK], at_b[min(len(b), right.min() // CHUNK * CHUNK + CHUNK)]
+        own = np.repeat(np.arange(len(b)), np.minimum(size_b, high))[low:high] - right.min() // CHUNK * CHUNK
+        place = np.arange(low, high) - np.repeat(at_b[:-1], size_b)[low:high]
+        usable = place < 64
+        alphabet, code = np.unique(points_b[low:high][usable], return_inverse=True)
+        where = np.zeros((len(alphabet) + 1, CHUNK), dtype=np.uint64)
+        np.bitwise_or.at(where, (code, own[usable]), np.uint64(1) << place[usable].astype(np.uint64))
+        full = np.where(size_b[right] >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(size_b[right], 63).astype(np.uint64)) - np.uint64(1))
+        found = np.searchsorted(alphabet, points_a)
+        codes = np.where(np.append(alphabet, 0)[found] == points_a, found, len(alphabet)) if len(alphabet) else np.zeros(len(points_a), dtype=int)
+        codes = np.where(found >= len(alphabet), len(alphabet), codes)
+        free, begin, column, sizes = full.copy(), at_a[left], right % CHUNK, size_a[left]
+        for step in range(int(sizes[0])):
+            live = int(np.searchsorted(-sizes, -step, side="left"))
+            now = free[:live]
+            grown = now & where[codes[begin[:live] + step], column[:live]]
+            free[:live] = ((now + grown) | (now - grown)) & full[:live]
+        out[part] = size_b[right] - np.bitwise_count(free)
     return out
 
 
-def string_ratios(a: list[str], b: list[str], need: np.ndarray | None = None) -> np.ndarray:
-    """(len(a), len(b)): string_ratio of all pairs. Where need is given, a ratio that cannot reach it may come out as 0."""
+def string_ratios(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray, need: np.ndarray | None = None) -> np.ndarray:
+    """string_ratio of the pairs (a[i], b[j]). Where need is given, a ratio that cannot reach it may come out as 0."""
     la, lb = np.array([len(x) for x in a], dtype=np.int64), np.array([len(y) for y in b], dtype=np.int64)
-    total = la[:, None] + lb[None, :]
-    lcs = np.zeros(total.shape, dtype=np.int64)
-    short_b, short_a = np.flatnonzero(lb <= 64), np.flatnonzero(la <= 64)
-    long_b = np.flatnonzero(lb > 64)
-    lcs[:, short_b] = short_lcs(a, [b[j] for j in short_b])
-    if len(long_b) and len(short_a):
-        lcs[np.ix_(short_a, long_b)] = short_lcs([b[j] for j in long_b], [a[i] for i in short_a]).T
-    if len(long_b) and len(short_a) < len(a):
-        chars_a = {i: Counter(a[i]) for i in np.flatnonzero(la > 64).tolist()}
-        chars_b = {j: Counter(b[j]) for j in long_b.tolist()}
-        for i, x in chars_a.items():
-            for j, y in chars_b.items():
-                want = 0.0 if need is None else need[i, j] * total[i, j] / 2
-                if min(la[i], lb[j]) >= want and (want <= 0 or (x & y).total() >= want):
-                    lcs[i, j] = lcs_length(a[i], b[j])
-    with np.errstate(invalid="ignore"):
-        return np.where(total > 0, 2.0 * lcs / np.maximum(total, 1), 1.0)
+    total = la[i] + lb[j]
+    lcs = np.zeros(len(i), dtype=np.int64)
+    ahead, turned = lb[j] <= 64, (lb[j] > 64) & (la[i] <= 64)
+    lcs[ahead] = short_lcs(a, b, i[ahead], j[ahead])
+    lcs[turned] = short_lcs(b, a, j[turned], i[turned])
+    long_ = np.flatnonzero(~ahead & ~turned)
+    chars: dict[str, Counter] = {}
+    for k in long_.tolist():
+        x, y = a[i[k]], b[j[k]]
+        want = 0.0 if need is None else need[k] * total[k] / 2
+        if min(len(x), len(y)) < want:
+            continue
+        if want > 0:
+            for z in (x, y):
+                if z not in chars:
+                    chars[z] = Counter(z)
+            if (chars[x] & chars[y]).total() < want:
+                continue
+        lcs[k] = lcs_length(x, y)
+    return np.where(total > 0, 2.0 * lcs / np.maximum(total, 1), 1.0)
 
 
 def numeric_ratio(a: float, b: float, scale: float, tol: float) -> float:

@@ -6,7 +6,7 @@ deleted, updated or stayed the same, and which cells changed. Statistics, delta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.plans.schema import RID, column_diff, differs, quoted, user_schema
@@ -14,20 +14,26 @@ from palimpsest.plans.schema import RID, column_diff, differs, quoted, user_sche
 INSERTED, DELETED, UPDATED, SAME = "I", "D", "U", "S"
 
 
-def change_frame(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(__rid__, status, changed array<string>, old struct of common columns, new struct of all columns)."""
+def change_frame(old: DataFrame, new: DataFrame, check: bool = False) -> DataFrame:
+    """(__rid__, status, changed array<string>, old struct of common columns, new struct of all columns).
+
+    With check, also `twin`: whether the id is that of an earlier row of new as well. It needs no exchange of its own.
+    """
     before, after = user_schema(old), user_schema(new)
     common = column_diff(before, after).common
     a = old.select(RID, F.struct(*[quoted(c).alias(c) for c in common] or [F.lit(1).alias("__none")]).alias("old"))
     b = new.select(RID, F.struct(*[quoted(c).alias(c) for c in after.names]).alias("new"))
+    if check:
+        b = b.withColumn("twin", F.row_number().over(Window.partitionBy(RID).orderBy(F.lit(1))) > 1)
     both = a.join(b, RID, "full_outer")
     cell = lambda side, c: F.col(side).getField(c)
     flags = [F.when(differs(cell("old", c), cell("new", c), before[c].dataType, after[c].dataType), F.lit(c)) for c in common]
     inside = F.col("old").isNotNull() & F.col("new").isNotNull()
     changed = F.when(inside, F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")).otherwise(F.array().cast("array<string>"))
-    both = both.select(RID, changed.alias("changed"), "old", "new")
+    more = [F.coalesce("twin", F.lit(False)).alias("twin")] if check else []
+    both = both.select(RID, changed.alias("changed"), "old", "new", *more)
     status = F.when(F.col("old").isNull(), INSERTED).when(F.col("new").isNull(), DELETED).when(F.size("changed") > 0, UPDATED).otherwise(SAME)
-    return both.select(RID, status.alias("status"), "changed", "old", "new")
+    return both.select(RID, status.alias("status"), "changed", "old", "new", *more)
 
 
 def row_diff(old: DataFrame, new: DataFrame) -> dict[str, DataFrame]:
@@ -69,8 +75,15 @@ def counts(changes: DataFrame) -> dict[str, int]:
 
 def summary(changes: DataFrame, columns: list[str]) -> tuple[dict[str, int], list[str]]:
     """`counts`, and which of the columns differ in some updated row, in the same aggregate."""
+    return summed(changes.agg(*measures(columns)).first().asDict(), columns)
+
+
+def measures(columns: list[str]) -> list[Column]:
+    """The aggregates of `summary`."""
     rows = [F.count_if(F.col("status") == s).alias(s) for s in (INSERTED, DELETED, UPDATED)]
-    hits = [F.bool_or(F.array_contains("changed", c)).alias(f"c{k}") for k, c in enumerate(columns)]
-    row = changes.agg(*rows, *hits).first()
-    hit = [c for k, c in enumerate(columns) if row[f"c{k}"]]
-    return {"added": row[INSERTED], "deleted": row[DELETED], "updated": row[UPDATED]}, hit
+    return [*rows, *[F.coalesce(F.bool_or(F.array_contains("changed", c)), F.lit(False)).alias(f"c{k}") for k, c in enumerate(columns)]]
+
+
+def summed(row: dict, columns: list[str]) -> tuple[dict[str, int], list[str]]:
+    hit = [c for k, c in enumerate(columns) if row.get(f"c{k}")]
+    return {"added": row.get(INSERTED) or 0, "deleted": row.get(DELETED) or 0, "updated": row.get(UPDATED) or 0}, hit

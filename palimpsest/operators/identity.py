@@ -28,28 +28,45 @@ def normalize_keys(keys: str | Sequence[str]) -> list[str]:
 
 
 def key_text(keys: Sequence[str]) -> Column:
-    """The key as text; several columns with their lengths, so that no two keys can look alike."""
+    """The key as text, null if a part is null; several columns with their lengths, so that no two keys can look alike."""
     parts = [quoted(k).cast("string") for k in keys]
-    return parts[0] if len(parts) == 1 else F.concat_ws("\x1f", *[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
+    if len(parts) == 1:
+        return parts[0]
+    parts = [F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]
+    return F.concat(parts[0], *[x for p in parts[1:] for x in (F.lit("\x1f"), p)])
 
 
-def compute_row_ids(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """df with __rid__ from its key. KeyError for a missing column; ValueError for a null or repeated key."""
+def check_key_columns(df: DataFrame, keys: Sequence[str]) -> None:
+    """KeyError for a missing column, ValueError for a type that cannot be a key."""
     missing = [k for k in keys if k not in df.columns]
     if missing:
         raise KeyError(f"key columns not found: {missing}")
     bad = [k for k in keys if any(x in df.schema[k].dataType.simpleString() for x in ("map<", "variant"))]
     if bad:
         raise ValueError(f"columns of this type cannot be a key: {bad}")
+
+
+def check_ids(n_null: int, twice: str | None, what: str = "row ids") -> None:
+    """ValueError if an id is null or repeats."""
+    if n_null:
+        raise ValueError(f"null in {what}")
+    if twice is not None:
+        raise ValueError(f"{what} repeat, for example {twice!r}")
+
+
+def id_problems(df: DataFrame) -> tuple[int, int, str | None]:
+    """(rows, rows without id, an id that repeats) of a frame with __rid__, whose ids alone are shuffled."""
+    groups = df.groupBy(RID).agg(F.count("*").alias("n"))
+    null, twice = F.sum(F.when(F.col(RID).isNull(), F.col("n"))), F.max(F.when(F.col("n") > 1, F.col(RID)))
+    row = groups.agg(F.sum("n").alias("n"), null.alias("null"), twice.alias("twice")).first()
+    return row["n"] or 0, row["null"] or 0, row["twice"]
+
+
+def compute_row_ids(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df with __rid__ from its key. KeyError for a missing column; ValueError for a null or repeated key."""
+    check_key_columns(df, keys)
     out = df.select(key_text(keys).alias(RID), *[quoted(c) for c in df.columns])
-    null = [F.count_if(quoted(k).isNull()).alias(f"k{i}") for i, k in enumerate(keys)]
-    groups = out.groupBy(RID).agg(F.count("*").alias("n"), *null)
-    row = groups.agg(*[F.sum(f"k{i}").alias(f"k{i}") for i in range(len(keys))], F.max(F.when(F.col("n") > 1, F.col(RID))).alias("twice")).first()
-    nulls = [k for i, k in enumerate(keys) if row[f"k{i}"]]
-    if nulls:
-        raise ValueError(f"null in key columns {nulls}")
-    if row["twice"] is not None:
-        raise ValueError(f"the key {list(keys)} repeats, for example {row['twice']!r}")
+    check_ids(*id_problems(out)[1:], f"key columns {list(keys)}")
     return out
 
 
@@ -68,7 +85,10 @@ class IdentityStrategy(ABC):
 
     @abstractmethod
     def assign(self, df: DataFrame, parent: DataFrame | None, version: int, keep: Keep) -> tuple[DataFrame, DataFrame | None]:
-        """(df with __rid__, provenance or None). keep stores a frame once and returns the stored one."""
+        """(df with __rid__, provenance or None). keep stores a frame once and returns the stored one.
+
+        The commit itself refuses ids that are null or repeat, in the job that compares the versions.
+        """
 
     @abstractmethod
     def to_config(self) -> dict: ...
@@ -89,7 +109,8 @@ class PrimaryKeyIdentity(IdentityStrategy):
         return list(self.keys)
 
     def assign(self, df, parent, version, keep):
-        return compute_row_ids(df, self.keys), None
+        check_key_columns(df, self.keys)
+        return df.select(key_text(self.keys).alias(RID), *[quoted(c) for c in df.columns]), None
 
     def to_config(self) -> dict:
         return {"strategy": self.strategy, "keys": self.keys}
@@ -126,19 +147,20 @@ class ContentMatchIdentity(IdentityStrategy):
         return True
 
     def assign(self, df, parent, version, keep):
-        # The ordinal is written down once: recomputed, it could come out otherwise.
-        new = keep(df.withColumn(ORD, F.monotonically_increasing_id()))
-        fresh = F.concat(F.lit(f"{version}."), F.lower(F.hex(ORD)))  # short, and neighbours are alike: it packs well
+        ordinal = F.monotonically_increasing_id()
+        fresh = lambda n: F.concat(F.lit(f"{version}."), F.lower(F.hex(n)))  # noqa: E731, short, and neighbours are alike: it packs well
         if parent is None:
-            out = new.withColumn(RID, fresh)
-            return keep(out.drop(ORD)), out.select(RID, F.lit("insert").alias("method"), F.lit(None).cast("double").alias("confidence"))
+            out = df.withColumn(RID, fresh(ordinal))
+            return out, out.select(RID, F.lit("insert").alias("method"), F.lit(None).cast("double").alias("confidence"))
+        # The ordinal is written down once: recomputed, it could come out otherwise.
+        new = keep(df.withColumn(ORD, ordinal))
         found = match_versions(
             new, parent, compare_on=self.compare_on, block_on=self.block_on, exact_only=self.exact_only,
             canon=self.canon, sim=self.sim, max_block_pairs=self.max_block_pairs, keep=keep,
-        )
-        out = new.join(found.matches, ORD, "left").withColumn(RID, F.coalesce(RID, fresh)).withColumn("method", F.coalesce("method", F.lit("insert")))
-        out = keep(out)
-        return out.drop(ORD, "method", "confidence"), out.select(RID, "method", "confidence")
+        ).matches
+        out = new.join(found.select(ORD, RID), ORD, "left").withColumn(RID, F.coalesce(RID, fresh(F.col(ORD)))).drop(ORD)
+        said = new.select(ORD).join(found, ORD, "left")
+        return out, said.select(F.coalesce(RID, fresh(F.col(ORD))).alias(RID), F.coalesce("method", F.lit("insert")).alias("method"), "confidence")
 
     def to_config(self) -> dict:
         return {

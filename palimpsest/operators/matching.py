@@ -11,7 +11,7 @@ A wrong pair costs storage, never a wrong version.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,6 +30,8 @@ BIN_ROWS = 4_000
 #: Rows on the longer side of a tile at most, and candidates that a row keeps of each tile.
 MAX_SIDE = 100_000
 DEPTH = 8
+#: About so many pairs of small tiles are scored at a time.
+PAIRS = 1 << 20
 NULL_TEXT = "\x00"
 MATCH_SCHEMA = f"{ORD} long, {RID} string, method string, confidence double"
 Keep = Callable[[DataFrame], DataFrame]
@@ -87,50 +89,52 @@ def cell_arrays(df: pd.DataFrame, kinds: list[float | None]) -> list[np.ndarray]
     return [df[f"c{k}"].to_numpy(dtype=float) if s is not None else df[f"c{k}"].fillna(NULL_TEXT).to_numpy(dtype=object) for k, s in enumerate(kinds)]
 
 
-def similarity_matrix(new: list[np.ndarray], old: list[np.ndarray], kinds: list[float | None], cfg: SimConfig) -> np.ndarray:
-    """Mean cell similarity of all pairs. kinds: the scale of a numeric column, or None for text.
+def pair_similarities(new: list[np.ndarray], old: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, kinds: list[float | None], cfg: SimConfig) -> np.ndarray:
+    """Mean cell similarity of the pairs (rows, cols). kinds: the scale of a numeric column, or None for text.
 
     The sum runs in the order of the columns, so a pair scores the same in any company. Ratios of two long texts are
     found only for pairs that can still reach the threshold with them; others come out below it.
     """
-    shape = (len(new[0]), len(old[0]))
     parts: list[np.ndarray] = []
-    soft: list[tuple[int, list[str], np.ndarray, list[str], np.ndarray]] = []
+    soft: list[tuple[int, np.ndarray, np.ndarray, list[str]]] = []
     for k, (a, b, scale) in enumerate(zip(new, old, kinds, strict=True)):
         if scale is not None:
-            x, y = a[:, None], b[None, :]
+            x, y = a[rows], b[cols]
             with np.errstate(invalid="ignore"):
                 gap = np.abs(x - y)
                 sim = np.where(gap <= cfg.num_rel_tol * scale, 1.0, np.maximum(0.0, 1.0 - gap / scale))
             none_a, none_b = np.isnan(x), np.isnan(y)
             parts.append(np.where(none_a & none_b, 1.0, np.where(none_a | none_b, 0.0, np.nan_to_num(sim))))
             continue
-        (code_a, left), (code_b, right) = pd.factorize(a), pd.factorize(b)
-        place = {v: i for i, v in enumerate(left)}
-        same = np.array([place.get(v, -1) for v in right])[code_b] == code_a[:, None]
-        parts.append(same.astype(float))
+        code, texts = pd.factorize(np.concatenate([a, b]))
+        x, y = code[: len(a)][rows], code[len(a) :][cols]
+        parts.append((x == y).astype(float))
         if cfg.string_soft:
-            soft.append((k, list(left), code_a, list(right), code_b))
+            soft.append((k, x, y, list(texts)))
     open_ = {k for k, *_ in soft}  # texts not yet compared, which may still give 1
-    for k, left, code_a, right, code_b in sorted(soft, key=lambda x: max(map(len, x[1] + x[3]))):
+    for k, x, y, texts in sorted(soft, key=lambda s: max(map(len, s[3]), default=0)):
         open_.discard(k)
-        la, lb = np.array([len(v) for v in left]), np.array([len(v) for v in right])
+        null = texts.index(NULL_TEXT) if NULL_TEXT in texts else -1
+        at = np.flatnonzero((x != y) & (x != null) & (y != null))
+        which, back = np.unique(x[at] * len(texts) + y[at], return_inverse=True)
         need = None
-        if la.max() > 64 and lb.max() > 64:
-            others = sum((np.ones(shape) if j in open_ else p for j, p in enumerate(parts) if j != k), np.zeros(shape))
-            least = np.full((len(left), len(right)), np.inf)
-            np.minimum.at(least, (code_a[:, None], code_b[None, :]), cfg.row_threshold * len(kinds) - 1e-9 - others)
-            need = least
-        small = string_ratios(left, right, need)
-        small[[v == NULL_TEXT for v in left], :] = 0.0
-        small[:, [v == NULL_TEXT for v in right]] = 0.0
-        parts[k] = np.where(parts[k] == 1.0, 1.0, small[code_a][:, code_b])
-    total = np.zeros(shape)
+        if sum(len(t) > 64 for t in texts) > 1:
+            others = sum((np.ones(len(at)) if j in open_ else p[at] for j, p in enumerate(parts) if j != k), np.zeros(len(at)))
+            need = np.full(len(which), np.inf)
+            np.minimum.at(need, back, cfg.row_threshold * len(kinds) - 1e-9 - others)
+        parts[k][at] = string_ratios(texts, texts, which // len(texts), which % len(texts), need)[back]
+    total = np.zeros(len(rows))
     for p in parts:
         total += p
     return total / max(1, len(kinds))
 
 
+def similarity_matrix(new: list[np.ndarray], old: list[np.ndarray], kinds: list[float | None], cfg: SimConfig) -> np.ndarray:
+    """`pair_similarities` of all pairs."""
+    rows, cols = np.divmod(np.arange(len(new[0]) * len(old[0])), max(1, len(old[0])))
+    return pair_similarities(new, old, rows, cols, kinds, cfg).reshape(len(new[0]), len(old[0]))
+
+
 def ties(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A number for each pair (a[k], b[k]) of row hashes that decides between equal scores: 63 mixed bits."""
     with np.errstate(over="ignore"):
@@ -140,10 +144,11 @@ def ties(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
 
 
-def ranked(sim: np.ndarray, threshold: float, new_hash: np.ndarray, old_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, score, tie) of all pairs from the threshold upwards, best first."""
-    rows, cols = np.nonzero(sim >= threshold)
-    score, tie = sim[rows, cols], ties(new_hash[rows], old_hash[cols])
+def ranked(rows: np.ndarray, cols: np.ndarray, score: np.ndarray, threshold: float, new_hash: np.ndarray, old_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score, tie) of the pairs from the threshold upwards, best first."""
+    at = np.flatnonzero(score >= threshold)
+    rows, cols, score = rows[at], cols[at], score[at]
+    tie = ties(new_hash[rows], old_hash[cols])
     order = np.lexsort((tie, score))[::-1]
     return rows[order], cols[order], score[order], tie[order]
 
@@ -178,6 +183,25 @@ def nth_of(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def tile_pairs(x: pd.DataFrame, y: pd.DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, column) of all pairs of rows with equal keys; several small tiles together, up to about `most` pairs."""
+    tile = pd.concat([x, y]).groupby(list(x.columns)).ngroup().to_numpy() if len(x) and len(y) else np.zeros(0, dtype=np.int64)
+    tile_x, tile_y = tile[: len(x)], tile[len(x) :]
+    count_x, count_y = (np.bincount(t, minlength=tile.max(initial=-1) + 1) for t in (tile_x, tile_y))
+    by_x, by_y = np.argsort(tile_x, kind="stable"), np.argsort(tile_y, kind="stable")
+    start_x, start_y = (np.cumsum(c) - c for c in (count_x, count_y))
+    upto = np.cumsum(count_x * count_y)
+    at = 0
+    while at < len(upto):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+        mine = by_x[start_x[at] : start_x[end - 1] + count_x[end - 1]]
+        many = count_y[tile_x[mine]]
+        if many.sum():
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            yield np.repeat(mine, many), by_y[np.repeat(start_y[tile_x[mine]], many) + step]
+        at = end
+
+
 # Kinds of rows that a tile gives: a link; a candidate of the new row's list, of the parent row's, of both; the last entry
 # of a list that was cut.
 LINK, OF_NEW, OF_OLD, OF_BOTH, END_NEW, END_OLD = range(6)
@@ -220,32 +244,31 @@ def score_tiles(left: DataFrame, right: DataFrame, plan: DataFrame, kinds: list[
     key = ["ba", "bb", "pa", "pb"]
 
     def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        """All tiles of a bin, each by itself."""
+        """All tiles of a bin. Small tiles are compared together, as their rows have no partners elsewhere."""
         ords, parents = x[ORD].to_numpy(), y[RID].to_numpy(dtype=object)
         hash_x, hash_y = x["h"].to_numpy(), y["h"].to_numpy()
         cells_x, cells_y = cell_arrays(x, kinds), cell_arrays(y, kinds)
-        there = y.groupby(key).indices if len(y) else {}
-        out = []
-        for name, i in (x.groupby(key).indices if len(x) else {}).items():
-            j = there.get(name)
-            if j is None:
-                continue
-            score = similarity_matrix([c[i] for c in cells_x], [c[j] for c in cells_y], kinds, sim)
-            rows, cols, score, tie = ranked(score, sim.row_threshold, hash_x[i], hash_y[j])
-            if not x["split"].iat[i[0]]:
-                at, kind = greedy(rows, cols), LINK
-            else:
-                nth_r, nth_c = nth_of(rows), nth_of(cols)
-                at = np.flatnonzero((nth_r < DEPTH) | (nth_c < DEPTH))
-                kind = OF_NEW * (nth_r[at] < DEPTH) + OF_OLD * (nth_c[at] < DEPTH)
-                for ends, own, cut in ((END_NEW, rows, nth_r), (END_OLD, cols, nth_c)):
-                    last = np.flatnonzero((cut == DEPTH - 1) & (np.bincount(own, minlength=max(len(i), len(j)))[own] > DEPTH))
-                    ids = {ORD: ords[i[own[last]]], RID: None} if ends == END_NEW else {ORD: None, RID: parents[j[own[last]]]}
-                    out.append(pd.DataFrame({"kind": ends, **ids, "score": score[last], "tie": tie[last]}))
-            out.append(pd.DataFrame({"kind": kind, ORD: ords[i[rows[at]]], RID: parents[j[cols[at]]], "score": score[at], "tie": tie[at]}))
-        if not out:
-            return pd.DataFrame({"kind": pd.Series(dtype="int32"), ORD: pd.Series(dtype="Int64"), RID: pd.Series(dtype=object), "score": pd.Series(dtype=float), "tie": pd.Series(dtype="int64")})
-        return pd.concat([o.astype({"kind": "int32", ORD: "Int64", RID: object}) for o in out], ignore_index=True)
+        out: list[tuple] = []
+        split = x["split"].to_numpy()
+        for rows, cols in tile_pairs(x[key], y[key], PAIRS):
+            (some_x, rows), (some_y, cols) = (np.unique(r, return_inverse=True) for r in (rows, cols))
+            score = pair_similarities([c[some_x] for c in cells_x], [c[some_y] for c in cells_y], rows, cols, kinds, sim)
+            rows, cols, score, tie = ranked(rows, cols, score, sim.row_threshold, hash_x[some_x], hash_y[some_y])
+            cut = split[some_x[rows]]
+            whole, at = np.flatnonzero(~cut), np.flatnonzero(cut)
+            whole = whole[greedy(rows[whole], cols[whole])]
+            nth_r, nth_c = nth_of(rows[at]), nth_of(cols[at])
+            for ends, own, nth in ((END_NEW, rows[at], nth_r), (END_OLD, cols[at], nth_c)):
+                last = at[(nth == DEPTH - 1) & (np.bincount(own, minlength=1)[own] > DEPTH)]
+                none = np.full(len(last), None, dtype=object)
+                ids = (ords[some_x[rows[last]]].astype(object), none) if ends == END_NEW else (none, parents[some_y[cols[last]]])
+                out.append((np.full(len(last), ends), *ids, score[last], tie[last]))
+            kind = OF_NEW * (nth_r < DEPTH) + OF_OLD * (nth_c < DEPTH)
+            for kind, at in ((np.full(len(whole), LINK), whole), (kind[kind > 0], at[kind > 0])):
+                out.append((kind, ords[some_x[rows[at]]].astype(object), parents[some_y[cols[at]]], score[at], tie[at]))
+        cols_ = [np.concatenate([o[k] for o in out]) if out else [] for k in range(5)]
+        types = ("int32", "Int64", object, "float64", "int64")
+        return pd.DataFrame({c: pd.Series(v, dtype=t) for c, v, t in zip(("kind", ORD, RID, "score", "tie"), cols_, types, strict=True)})
 
     return a.groupBy("bin").cogroup(b.groupBy("bin")).applyInPandas(pair, TILE_SCHEMA)
 

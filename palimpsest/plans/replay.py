@@ -29,22 +29,27 @@ def with_rid(fields: list[T.StructField]) -> T.StructType:
     return T.StructType([RID_FIELD, *fields])
 
 
-def materialize(store: Store, version: int) -> DataFrame:
-    """The frame of a version, row ids included."""
-    chain, at = [], version
-    while True:
-        if store.files.exists(f"{store.snapshot_path(at)}/_SUCCESS"):
-            # A snapshot carries its own schema, so it outlives the metadata of its version.
-            frame = store.spark.read.parquet(store.snapshot_path(at))
-            break
+def chain_of(store: Store, version: int) -> tuple[int, bool, list[int]]:
+    """(version stored in full, whether by a snapshot, later versions whose deltas lead to version)."""
+    full, deltas, at = set(store.snapshots()), [], version
+    while at not in full:
         meta = store.metadata(at)
         if "base" in meta["components"]:
-            frame = store.component(at, "base", with_rid(version_schema(meta).fields))
-            break
-        chain.append(meta)
+            return at, False, deltas[::-1]
+        deltas.append(at)
         at = meta["parent"]
-    for meta in reversed(chain):
-        frame = apply_delta(store, frame, meta)
+    return at, True, deltas[::-1]
+
+
+def materialize(store: Store, version: int) -> DataFrame:
+    """The frame of a version, row ids included."""
+    full, by_snapshot, deltas = chain_of(store, version)
+    if by_snapshot:  # it carries its own schema, so it outlives the data of its version
+        frame = store.spark.read.parquet(store.snapshot_path(full))
+    else:
+        frame = store.component(full, "base", with_rid(version_schema(store.metadata(full)).fields))
+    for v in deltas:
+        frame = apply_delta(store, frame, store.metadata(v))
     return frame
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -10,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import diffing
-from palimpsest.operators.identity import PROVENANCE, IdentityStrategy, PrimaryKeyIdentity, make_identity
-from palimpsest.plans.replay import CELL, materialize, version_schema
+from palimpsest.operators.identity import PROVENANCE, IdentityStrategy, PrimaryKeyIdentity, check_ids, id_problems, make_identity
+from palimpsest.plans.replay import CELL, chain_of, materialize, version_schema
 from palimpsest.plans.schema import RID, check_names, column_diff, quoted, type_changes, user_schema
-from palimpsest.sources.files import StoreError
+from palimpsest.sources.files import StoreError, TakenError
 from palimpsest.sources.store import Store
 from palimpsest.sources.workspace import ship
 
+#: A version whose replay would take so many deltas is stored in full too, where no snapshot interval is set.
+MAX_DEPTH = 50
 STATS = ("added", "deleted", "updated", "columns_added", "columns_removed", "types_changed")
 
 
@@ -117,25 +120,34 @@ class Repository:
 
     # --- writing ----------------------------------------------------------------------------------------------------
 
-    def commit(self, df: DataFrame, message: str = "", *, audit: bool = False) -> CommitResult:
-        """Store df as the next version. With audit, every changed cell is stored with both values too."""
+    def commit(self, df: DataFrame, message: str = "", *, audit: bool = False, streams: dict[str, int] | None = None) -> CommitResult:
+        """Store df as the next version. With audit, every changed cell is stored with both values too.
+
+        Raises TakenError if another writer made that version meanwhile; nothing of this commit is seen then. `streams` says
+        up to which batch each stream has been taken in; what earlier versions say of other streams is carried along.
+        """
         check_names(df)
         parent = self.head
-        draft = self.store.draft()
+        version = parent + 1
+        draft = self.store.draft(version)
         try:
-            result, meta = (self._base if not parent else self._delta)(df, parent, message, audit, draft)
+            meta = (self._delta if parent else self._base)(df, parent, message, audit, draft)
             self.store.files.remove(f"{draft}/_kept")
-            self.store.publish(draft, result.version, meta)
+            before = self.store.metadata(parent).get("streams", {}) if parent else {}
+            self.store.publish(draft, version, meta | {"streams": before | (streams or {})})
         except BaseException:
-            self.store.files.remove(draft)
+            self.store.forget(draft, version)
             raise
-        if parent and self.snapshot_interval and result.version % self.snapshot_interval == 0:
-            self.snapshot(result.version)
-        return result
+        if parent and self.snapshot_interval:
+            if version % self.snapshot_interval == 0:
+                self.snapshot(version)
+        elif len(chain_of(self.store, version)[2]) >= MAX_DEPTH:
+            self.snapshot(version)
+        return CommitResult(version, parent, message, meta["stats"])
 
     def _keeper(self, draft: str):
         """Writes frames of a commit under its draft, each once."""
-        made = iter(range(1_000))
+        made = iter(range(1_000_000))
         return lambda df: self.store.write(df, f"{draft}/_kept/{next(made)}")
 
     def _meta(self, version: int, parent: int, df: DataFrame, message: str, stats: dict, components: dict, **more) -> dict:
@@ -145,73 +157,88 @@ class Repository:
             "added_columns": [], "removed_columns": [], "type_changes": [], **more,
         }
 
-    def _base(self, df: DataFrame, parent: int, message: str, audit: bool, draft: str):
+    def _what(self) -> str:
+        return f"key columns {self.keys}" if self.keys else "row ids"
+
+    def _base(self, df: DataFrame, parent: int, message: str, audit: bool, draft: str) -> dict:
         frame, provenance = self.identity.assign(df, None, 1, self._keeper(draft))
         base = self.store.write(frame, f"{draft}/base")
-        components = {"base": True} | self._provenance(provenance, draft)
-        meta = self._meta(1, 0, df, message, {"added": base.count(), "columns_added": len(df.columns)}, components)
-        return CommitResult(1, 0, message, meta["stats"]), meta
-
-    def _provenance(self, provenance: DataFrame | None, draft: str) -> dict:
-        if provenance is not None:
-            self.store.write(provenance, f"{draft}/provenance")
-        return {"provenance": True} if provenance is not None else {}
-
-    def _delta(self, df: DataFrame, parent: int, message: str, audit: bool, draft: str):
+        n, null, twice = id_problems(base)
+        check_ids(null, twice, self._what())
+        components: dict = {"base": True}
+        if provenance is not None:  # read from the stored rows: the ids of another evaluation could be others
+            self.store.write(base.select(RID, F.lit("insert").alias("method"), F.lit(None).cast("double").alias("confidence")), f"{draft}/provenance")
+            components["provenance"] = True
+        return self._meta(1, 0, df, message, {"added": n, "columns_added": len(df.columns)}, components)
+
+    def _delta(self, df: DataFrame, parent: int, message: str, audit: bool, draft: str) -> dict:
         version, write = parent + 1, self.store.write
         old = materialize(self.store, parent)
         keep = self._keeper(draft)
-        if self.identity.requires_parent:
-            old = keep(old)
+        if self.identity.requires_parent and chain_of(self.store, parent)[2]:
+            old = keep(old)  # it is read several times
         frame, provenance = self.identity.assign(df, old, version, keep)
         before, after = user_schema(old), user_schema(df)
         columns = column_diff(before, after)
         types = type_changes(before, after)
 
-        changes = diffing.change_frame(old, frame)
+        changes = diffing.change_frame(old, frame, check=True)
         filled = F.lit(False)
         for c in columns.added:
             filled = filled | F.col("new").getField(c).isNotNull()
-        # One join over the table; only what differs is kept, and every component is read from that.
-        changes = keep(changes.filter((F.col("status") != diffing.SAME) | filled))
-        stats, names = diffing.summary(changes, columns.common)
+        # One join over the table, in the job that also counts, checks the ids and stores what differs; every component is
+        # read from that.
+        bad = F.col("new").isNotNull() & F.col(RID).isNull()
+        checks = F.count_if(bad).alias("null"), F.max(F.when(F.col("twin"), F.col(RID))).alias("twice")
+        changes = changes.filter((F.col("status") != diffing.SAME) | filled | F.col("twin"))
+        changes, seen = write(changes, f"{draft}/_kept/changes", *diffing.measures(columns.common), *checks)
+        check_ids(seen.get("null") or 0, seen.get("twice"), self._what())
+        stats, names = diffing.summed(seen, columns.common)
         stats |= {"columns_added": len(columns.added), "columns_removed": len(columns.removed), "types_changed": len(types)}
 
         of = lambda s: changes.filter(F.col("status") == s)
         new = lambda c: F.col("new").getField(c).alias(c)
-        components: dict = self._provenance(provenance, draft)
+        components: dict = {}
+        parts: dict[str, DataFrame] = {}
+        if provenance is not None:
+            components["provenance"], parts["provenance"] = True, provenance
         if stats["added"]:
-            write(of(diffing.INSERTED).select(RID, *[new(c) for c in columns.common]), f"{draft}/inserts")
-            components["inserts"] = True
+            components["inserts"], parts["inserts"] = True, of(diffing.INSERTED).select(RID, *[new(c) for c in columns.common])
         if stats["deleted"]:
-            write(of(diffing.DELETED).select(RID), f"{draft}/deletes")
-            components["deletes"] = True
+            components["deletes"], parts["deletes"] = True, of(diffing.DELETED).select(RID)
         if stats["updated"]:
             value = lambda c: F.struct(F.col("new").getField(c).alias("v"))
             cells = [F.when(F.array_contains("changed", c), value(c)).alias(f"{CELL}{k}") for k, c in enumerate(names)]
-            write(of(diffing.UPDATED).select(RID, *cells), f"{draft}/updates")
-            components["updates"] = names
+            components["updates"], parts["updates"] = names, of(diffing.UPDATED).select(RID, *cells)
             if audit:
-                write(diffing.cell_changes(changes, names), f"{draft}/cells")
-                components["cells"] = True
+                components["cells"], parts["cells"] = True, diffing.cell_changes(changes, names)
         if columns.added:
-            rows = changes.filter(F.col("new").isNotNull() & (filled | (F.col("status") == diffing.INSERTED))).select(RID, *[new(c) for c in columns.added])
-            rows = write(rows, f"{draft}/columns")
-            components["columns"] = True
-        meta = self._meta(
+            rows = changes.filter(F.col("new").isNotNull() & (filled | (F.col("status") == diffing.INSERTED)))
+            components["columns"], parts["columns"] = True, rows.select(RID, *[new(c) for c in columns.added])
+        self._side_by_side([lambda name=name, rows=rows: write(rows, f"{draft}/{name}") for name, rows in parts.items()])
+        return self._meta(
             version, parent, df, message, stats, components,
             added_columns=columns.added, removed_columns=columns.removed, type_changes=types,
         )
-        return CommitResult(version, parent, message, meta["stats"]), meta
+
+    @staticmethod
+    def _side_by_side(jobs: list[Callable[[], object]]) -> None:
+        """Small independent writes at one time: each has too few tasks to fill a cluster."""
+        with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
+            for job in [pool.submit(j) for j in jobs]:
+                job.result()
 
     def snapshot(self, version: int | None = None) -> str:
         """Store a version in full, as a place from which replay can start; returns its path."""
         version = self._resolve(version)
-        path = self.store.snapshot_path(version)
-        if not self.store.files.exists(f"{path}/_SUCCESS"):
-            self.store.files.remove(path)  # what a broken run left
-            materialize(self.store, version).write.parquet(path)
-        return path
+        if version not in self.store.snapshots():
+            folder = self.store.draft(version)
+            materialize(self.store, version).write.mode("overwrite").parquet(folder)
+            try:
+                self.store.publish_snapshot(version, folder)
+            except TakenError:  # the same rows, by another writer
+                self.store.files.remove(folder)
+        return self.store.snapshot_path(version)
 
     # --- reading ------------------------------------------------------------------------------------------------
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import SparkSession
 
@@ -11,6 +14,10 @@ class StoreError(RuntimeError):
     """A repository, version or component that is missing or in the way."""
 
 
+class TakenError(StoreError):
+    """A file that was to be made once is there already: another writer was first."""
+
+
 class Files:
     """File operations below one root."""
 
@@ -37,25 +44,39 @@ class Files:
     def remove(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
-    def move(self, source: str, target: str) -> None:
-        """Rename; the target must not exist."""
-        if self.exists(target) or not self._fs.rename(self._path(source), self._path(target)):
-            raise StoreError(f"cannot move {source} to {target}")
-
     def size(self, path: str) -> int:
         return self._fs.getContentSummary(self._path(path)).getLength() if self.exists(path) else 0
 
-    def write_text(self, path: str, text: str) -> None:
-        """Write a new file as a whole: readers see all of it or nothing."""
-        draft = self._path(path + ".draft")
-        stream = self._fs.create(draft, True)
+    def _put(self, path: str, text: str) -> None:
+        stream = self._fs.create(self._path(path), True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self.exists(path):
-            self.remove(path)
-        self._fs.rename(draft, self._path(path))
+
+    def create_once(self, path: str, text: str) -> None:
+        """Make a file that must not exist, as a whole: readers see all of it or nothing, and of two writers one fails.
+
+        The text goes to a file of its own first. Locally a hard link gives it the name, elsewhere a rename, which a file
+        system with atomic renames refuses if the name is taken. On an object store, which copies, the file is read again:
+        a writer whose text is not there was overtaken. Texts of two writers must therefore differ.
+        """
+        draft = f"{path}.{uuid.uuid4().hex}.draft"
+        self._put(draft, text)
+        try:
+            if self.exists(path):
+                raise TakenError(f"{path} is there already")
+            if urlsplit(self.root).scheme == "file":
+                try:
+                    os.link(*(unquote(urlsplit(p).path) for p in (draft, path)))
+                except FileExistsError:
+                    raise TakenError(f"{path} is there already") from None
+            elif not self._fs.rename(self._path(draft), self._path(path)):
+                raise TakenError(f"{path} is there already")
+            if self.read_text(path) != text:
+                raise TakenError(f"{path} was made by another writer")
+        finally:
+            self.remove(draft)
 
     def read_text(self, path: str) -> str:
         if not self.exists(path):
@@ -66,8 +87,5 @@ class Files:
         finally:
             stream.close()
 
-    def write_json(self, path: str, value) -> None:
-        self.write_text(path, json.dumps(value, default=str))
-
     def read_json(self, path: str):
         return json.loads(self.read_text(path))

@@ -1,7 +1,9 @@
 import pytest
 
 from palimpsest import ContentMatchIdentity, PrimaryKeyIdentity, Repository, StoreError
+from palimpsest import repository
 from palimpsest.plans.schema import RID
+from palimpsest.sources.files import TakenError
 
 
 def frames(spark):
@@ -73,7 +75,7 @@ def test_audit_and_components(chain):
 
 def test_snapshots(spark, chain, tmp_path):
     root, repo, _ = chain
-    assert repo.store.files.names(f"{root}/snapshots") == ["v00003", "v00006"]
+    assert repo.store.files.names(f"{root}/snapshots") == ["v00003.json", "v00006.json"]
     other = Repository.init(spark, f"file://{tmp_path}/r", "id")
     for df in frames(spark)[:3]:
         other.commit(df)
@@ -182,8 +184,70 @@ def test_interrupted_commit_leaves_no_trace(spark, tmp_path, monkeypatch):
         m.setattr(repo.store, "publish", broken)
         with pytest.raises(RuntimeError):
             repo.commit(f[2])
-    stray = repo.store.draft()
+    stray = repo.store.draft(2)
     f[2].write.parquet(f"{stray}/deletes")
     assert repo.head == 1
     assert repo.commit(f[1]).version == 2
     same(repo.checkout(2), f[1])
+
+
+@pytest.mark.parametrize("step", ["_put", "read_text"])
+def test_crash_while_the_manifest_is_made(spark, tmp_path, monkeypatch, step):
+    """Whatever breaks before the manifest has its name leaves the head where it was."""
+    f = frames(spark)
+    repo = Repository.init(spark, f"file://{tmp_path}/r", "id")
+    repo.commit(f[0])
+    real = getattr(type(repo.store.files), step)
+
+    def broken(self, path, *more):
+        if "v00002" in path:
+            raise OSError("lost")
+        return real(self, path, *more)
+
+    with monkeypatch.context() as m:
+        m.setattr(type(repo.store.files), step, broken)
+        with pytest.raises(OSError):
+            repo.commit(f[1])
+    again = Repository.open(spark, f"file://{tmp_path}/r")
+    assert again.head == (1 if step == "_put" else 2)
+    if step == "_put":
+        assert again.commit(f[1]).version == 2
+    same(again.checkout(2), f[1])
+
+
+def test_two_writers_of_one_version(spark, tmp_path, monkeypatch):
+    f = frames(spark)
+    one = Repository.init(spark, f"file://{tmp_path}/r", "id")
+    one.commit(f[0])
+    other = Repository.open(spark, f"file://{tmp_path}/r")
+    publish = one.store.publish
+
+    def late(*a):
+        other.commit(f[1])
+        publish(*a)
+
+    with monkeypatch.context() as m:
+        m.setattr(one.store, "publish", late)
+        with pytest.raises(TakenError):
+            one.commit(f[2])
+    assert one.head == 2 and len(one.store.files.names(one.store.files.at("data"))) == 2
+    same(one.checkout(), f[1])
+
+
+def test_depth_is_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(repository, "MAX_DEPTH", 2)
+    repo = Repository.init(spark, f"file://{tmp_path}/r", "id")
+    for df in frames(spark)[:6]:
+        repo.commit(df)
+    assert repo.store.snapshots() == [3, 5]
+    same(repo.checkout(6), frames(spark)[5])
+
+
+def test_repeated_key_in_a_later_version(spark, tmp_path):
+    repo = Repository.init(spark, f"file://{tmp_path}/r", "id")
+    t = "id long, v double"
+    repo.commit(spark.createDataFrame([(1, 1.0), (2, 2.0)], t))
+    for rows in ([(1, 1.0), (1, 1.0)], [(1, 1.0), (3, 2.0), (3, 2.0)], [(1, 1.0), (None, 2.0)], [(None, 1.0), (None, 1.0)]):
+        with pytest.raises(ValueError):
+            repo.commit(spark.createDataFrame(rows, t))
+    assert repo.head == 1
