@@ -1,8 +1,8 @@
 """Record linkage of two versions of a table without a key.
 
 First an exact multiset join on canonical content: the k-th of equal new rows meets the k-th of equal parent rows.
-Numbers are given in salted groups, whose sizes are summed first, so that a content repeated in a third of all rows does
-not meet in one task. What is left is compared inside blocks: cells are scored by kind, a row by their mean, and pairs
+A sketch finds contents so frequent that they would crowd a task; their numbers are given in salted groups, whose sizes
+are summed first. What is left is compared inside blocks: cells are scored by kind, a row by their mean, and pairs
 are taken best first, one to one, from the threshold upwards; a hash of the pair decides between equal scores. A block of
 any size is compared in full: a large one is cut into tiles of bounded size, every row keeps its best candidates, and rows
 that are each other's best are linked round by round, which gives the same links as one sorted list of all pairs would.
@@ -32,6 +32,9 @@ MAX_SIDE = 100_000
 DEPTH = 8
 #: About so many pairs of small tiles are scored at a time.
 PAIRS = 1 << 20
+#: A content of fewer rows is never hot; items that the sketch of frequent contents tracks.
+HOT_ROWS = 50_000
+SKETCH = 16_384
 NULL_TEXT = "\x00"
 MATCH_SCHEMA = f"{ORD} long, {RID} string, method string, confidence double"
 Keep = Callable[[DataFrame], DataFrame]
@@ -59,11 +62,36 @@ def numbered(df: DataFrame, key: str, unique: Column) -> DataFrame:
     return out.withColumn("nth", F.col("__in") + F.col("__before")).drop("__u", "__salt", "__in", "__before")
 
 
+def hot_keys(rows: DataFrame) -> DataFrame | None:
+    """(ka) of contents that hold a thousandth of rows and HOT_ROWS at least; None if there are none.
+
+    A sketch of bounded size finds them in one pass without a shuffle; it overlooks no content that is so frequent.
+    """
+    found = rows.agg(F.expr(f"approx_top_k(ka, 2000, {SKETCH})").alias("top"), F.count("*").alias("n")).first()
+    hot = [(r["item"],) for r in found["top"] or [] if r["count"] >= max(HOT_ROWS, found["n"] / 1000)]
+    return rows.sparkSession.createDataFrame(hot, "ka long") if hot else None
+
+
 def exact_join(new: DataFrame, parent: DataFrame, columns: list[str], canon: CanonConfig, how: str = "full_outer") -> DataFrame:
-    """(__ord__, __rid__) of the multiset join; a row of either side that has no partner stands alone."""
-    a = numbered(new.select(ORD, content_key(new, columns, canon).alias("k")), "k", F.col(ORD))
-    b = numbered(parent.select(RID, content_key(parent, columns, canon).alias("k")), "k", F.col(RID))
-    return a.join(b, ["k", "nth"], how).select(ORD, RID)
+    """(__ord__, __rid__) of the multiset join; a row of either side that has no partner stands alone.
+
+    The rows of both sides meet in one shuffle by content, where they are numbered and paired. Contents so frequent that
+    they would crowd a task are numbered in salted groups instead.
+    """
+    side = lambda df, o, r: df.select(content_key(df, columns, canon).alias("k"), o.alias(ORD), r.alias(RID)).select("k.a", "k.b", ORD, RID).toDF("ka", "kb", ORD, RID)
+    a = side(new, F.col(ORD), F.lit(None).cast("string"))
+    b = side(parent, F.lit(None).cast("long"), F.col(RID))
+    hot = hot_keys(a.unionByName(b))
+    cold = lambda df: df if hot is None else df.join(F.broadcast(hot), "ka", "left_anti")
+    both = cold(a.unionByName(b))
+    nth = F.row_number().over(Window.partitionBy("ka", "kb", F.col(RID).isNull()).orderBy(ORD, RID))
+    pairs = both.withColumn("nth", nth).groupBy("ka", "kb", "nth").agg(F.max(ORD).alias(ORD), F.max(RID).alias(RID)).select(ORD, RID)
+    if how == "inner":
+        pairs = pairs.filter(F.col(ORD).isNotNull() & F.col(RID).isNotNull())
+    if hot is None:
+        return pairs
+    few = lambda df, c: numbered(df.join(F.broadcast(hot), "ka", "left_semi").select(F.struct("ka", "kb").alias("k"), c), "k", F.col(c))
+    return pairs.unionByName(few(a, ORD).join(few(b, RID), ["k", "nth"], how).select(ORD, RID))
 
 
 def exact_pairs(new: DataFrame, parent: DataFrame, columns: list[str], canon: CanonConfig) -> DataFrame:
