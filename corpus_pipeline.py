@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import language, mixing, pieces, quality, simhash
+from palimpsest.llm import language, mixing, pieces, quality, separators, simhash
 from palimpsest.llm.mixing_query import TARGET, levels
 from palimpsest.llm.pieces_query import MODEL
+from palimpsest.llm.separators_query import RANKS
 from palimpsest.llm.work import stage, table
 
 #: A prediction below this is no language: with four labels, chance is a quarter.
@@ -36,7 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the proportions of the target weights, once for each epoch that selects them."""
-    return mixing.mix(docs, TARGET, levels())
+    counted = separators.with_counts(docs.select("doc_id", "lang", "source", "text"), RANKS)
+    return mixing.mix(docs, TARGET, levels(), made=mixing.plan(counted, TARGET, levels(), tokens=F.col("n_tokens")))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

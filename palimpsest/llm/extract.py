@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from palimpsest.llm.blocks import Leaf, leaves
 from palimpsest.llm.pages_made import Maker
-from palimpsest.llm.work import small_batches
+from palimpsest.llm.work import small_batches, without
 
 PATH = 96
 WORDS = 32
@@ -244,9 +244,9 @@ def main_texts(model: Labeller, pages: list[str | None]) -> list[str]:
 
 def extract(pages: DataFrame, html: str = "html", model: Labeller | None = None) -> DataFrame:
     """pages with text and n_chars in place of the html column."""
-    small_batches(pages.sparkSession, 256)
+    small_batches(pages.sparkSession)
     model = model or trained()
-    rest = [c for c in pages.columns if c not in (html, "text", "n_chars")]
+    rest = without(pages.columns, html, "text", "n_chars")
     slim = pages.select(*[f"`{c}`" for c in rest], f"`{html}`")
     fields = [slim.schema[c] for c in rest] + [T.StructField("text", T.StringType(), False), T.StructField("n_chars", T.LongType(), False)]
 

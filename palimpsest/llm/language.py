@@ -5,7 +5,7 @@ filter, and a softmax layer names the language. The network is trained in numpy
 rows; prediction covers all windows of the whole text, weighs each window by its letters, and averages.
 
 The sample: of every label about PER_LABEL rows, chosen by hash, and a piece of PIECE characters of each at a place set
-by that hash; at most MAX_LABELS labels, the most frequent. All other work covers all rows, in the scan stage.
+by that hash. More than MAX_LABELS labels raise an error, as the network could not name the others. All other work covers all rows, in the scan stage.
 
 Defined results. Null text, or a text without a letter, gives `und` and score 0. With no labelled row everything
 is `und` with score 0. Repeated rows are predicted independently and alike. Empty tables give empty results. Input
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.work import small_batches
+from palimpsest.llm.work import position, small_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
@@ -32,13 +32,18 @@ REACH = max(WIDTHS)
 CHUNK = 96  # windows at a time: what they take stays in the cache
 PER_LABEL = 400
 PIECE = 600
-MAX_LABELS = 128
+MAX_LABELS = 1024
 UNKNOWN = "und"
 HELD_OUT = 2
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
 _IS_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text holds a character of a letter category; ½ and ² are word characters but no letters."""
+    return any(any(map(str.isalpha, m[0])) for m in _WORD.finditer(text))
+
+
 class Network:
     """Weights and the two passes."""
 
@@ -164,14 +169,15 @@ def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     body = F.col("text")
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     rows = rows.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & body.isNotNull() & F.col("lang").isNotNull())
-    many = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect()}
+    many = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LABELS + 1).collect()}
+    if len(many) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels: map rare ones to a common name")
     if not many:
         return [], []
     h = F.xxhash64("doc_id", "text")
     place = F.pmod(h, F.greatest(F.length(body) - PIECE, F.lit(0)) + 1) + 1
-    bound = F.lit(0)
-    for name, n in many.items():
-        bound = F.when(F.col("lang") == name, min(1 << 30, (PER_LABEL << 30) // n + 1)).otherwise(bound)
+    bounds = [F.lit(x) for name, n in many.items() for x in (name, min(1 << 30, (PER_LABEL << 30) // n + 1))]
+    bound = F.element_at(F.create_map(*bounds), F.col("lang"))
     rows = rows.filter(F.pmod(F.shiftrightunsigned(h, 8), F.lit(1 << 30)) < bound)
     found = rows.select("lang", F.substr(body, place.cast("int"), F.lit(PIECE)).alias("piece")).limit(2 * PER_LABEL * len(many)).collect()
     pairs = sorted((r.lang, r.piece) for r in found)
@@ -209,7 +215,7 @@ def predict_batch(net: Network | None, text: pa.Array) -> tuple[list[str], np.nd
         at = stop
     best = total.argmax(axis=1)
     for i in np.flatnonzero(weight):
-        if _LETTER.search(text[i].as_py()):
+        if has_letter(text[i].as_py()):
             names[i] = net.labels[best[i]]
             score[i] = min(1.0, total[i, best[i]] / weight[i])
     return names, score
@@ -219,7 +225,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFra
     """docs with lang_pred and score."""
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
-    at = docs.columns.index(text)
+    at = position(docs, text)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):

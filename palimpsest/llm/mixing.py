@@ -10,12 +10,14 @@ takes so many whole epochs, then the longest prefix of the next epoch that still
 in two steps, sums over hash ranges of about BUCKET rows and then exact running sums within one range, so no task holds
 a leaf. What remains is one comparison for each document with its leaf's cut-off: texts are never shuffled.
 
-Unit. Tokens here are words between white space, not tokens of a vocabulary; a text without spaces counts about one a line.
+Unit. `tokens` is the caller's count of each document's tokens, for example separators.with_counts; null or less than 0 counts
+as 0. Without it words between white space are counted, of which a text without spaces has about one a line.
 
-Defined results. Null text has no tokens and is selected only with whole epochs. Null labels form a leaf of their own
+Defined results. A document without tokens, such as null text, costs nothing; it is selected where its place in the order
+falls into what is selected. Null labels form a leaf of their own
 (NONE). Rows equal in id and text share a place in the order and are taken or left together. A leaf without tokens takes
-nothing. Unknown nodes have weight 1; weight 0 excludes. An empty table gives an empty result. Columns that clash with
-the outputs are replaced.
+nothing. Unknown nodes have weight 1; weight 0 excludes. An empty table gives an empty result. `mix`
+gives the columns of its input, whatever their names; `selection` gives its own. More than MAX_LEAVES leaves raise an error.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.quality import words_of
-from palimpsest.llm.work import stage
+from palimpsest.llm.work import spare, stage
 
 NONE = "(none)"
 BUCKET = 5_000
@@ -97,18 +99,19 @@ class Plan(NamedTuple):
     slim: DataFrame  # leaf columns, doc_id, place, tokens: staged
 
 
-def _leaf(docs: DataFrame, levels: Sequence[Column]) -> list[Column]:
-    return [F.coalesce(c.cast("string"), F.lit(NONE)).alias(f"__{name}") for name, c in zip(LEVELS, levels, strict=True)]
+def _leaf(docs: DataFrame, levels: Sequence[Column], prefix: str = "__") -> list[Column]:
+    return [F.coalesce(c.cast("string"), F.lit(NONE)).alias(f"{prefix}{name}") for name, c in zip(LEVELS, levels, strict=True)]
 
 
 def _place(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
 
 
-def plan(docs: DataFrame, target: Target, levels: Sequence[Column], doc_id: str = "doc_id", text: str = "text") -> Plan:
+def plan(docs: DataFrame, target: Target, levels: Sequence[Column], doc_id: str = "doc_id", text: str = "text", tokens: Column | None = None) -> Plan:
     spark = docs.sparkSession
     keys = [f"__{name}" for name in LEVELS]
-    tokens = F.size(words_of(F.col(f"`{text}`"))).cast("long")
+    tokens = F.size(words_of(F.col(f"`{text}`"))) if tokens is None else F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0))
+    tokens = tokens.cast("long")
     slim = docs.select(*_leaf(docs, levels), F.col(f"`{doc_id}`").alias("doc_id"), _place(doc_id, text).alias("place"), tokens.alias("tokens"))
     slim = stage(slim, "mix-slim")
     totals = slim.groupBy(*keys).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).limit(MAX_LEAVES + 1).collect()
@@ -128,13 +131,14 @@ def plan(docs: DataFrame, target: Target, levels: Sequence[Column], doc_id: str
 
     part = slim.join(leaves.filter("rest > 0"), keys).withColumn("at", _order(target.seed, F.col("whole"), F.col("place")))
     bucket = F.least(F.floor(F.col("at") / float(1 << 63) * F.col("buckets")), F.col("buckets") - 1).cast("int")
-    part = part.withColumn("bucket", bucket)
+    # Rows that share a place are summed first: a document repeated in a third of all rows is one row from here.
+    part = part.withColumn("bucket", bucket).groupBy(*keys, "bucket", "at").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"), F.first("buckets").alias("buckets"))
     sums = part.groupBy(*keys, "bucket").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # The range in which the budget ends: the first whose running sum exceeds it. There is at most one for each leaf.
     edge = sums.withColumn("before", before).filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
     edge = stage(edge.select(*keys, "bucket", (F.col("rest") - F.col("before")).alias("room")), "mix-edge")
-    inside = part.join(F.broadcast(edge), [*keys, "bucket"])
+    inside = part.drop("rest").join(F.broadcast(edge), [*keys, "bucket"])
     upto = F.sum("tokens").over(Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
     fits = inside.withColumn("upto", upto).filter(F.col("upto") <= F.col("room")).groupBy(*keys).agg(F.max("at").alias("cut"))
     # Without a document that fits, the prefix ends where the range begins.
@@ -145,24 +149,25 @@ def plan(docs: DataFrame, target: Target, levels: Sequence[Column], doc_id: str
     return Plan(stage(cuts.coalesce(1), "mix-cuts"), slim)
 
 
-def _taken(rows: DataFrame, target: Target, place: Column) -> DataFrame:
-    """rows once for each epoch that selects them (column __epoch, from 0)."""
-    more = F.coalesce(_order(target.seed, F.col("whole"), place) <= F.col("cut"), F.lit(False)).cast("int")
-    many = F.col("whole") + more
-    return rows.withColumn("__many", many).filter("__many > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__many") - 1)))
+def _taken(rows: DataFrame, target: Target, place: Column, p: str = "") -> DataFrame:
+    """rows once for each epoch that selects them (column epoch, from 0). p: how the working columns begin."""
+    whole = F.col(f"{p}whole")
+    more = F.coalesce(_order(target.seed, whole, place) <= F.col(f"{p}cut"), F.lit(False)).cast("int")
+    return rows.withColumn(f"{p}many", whole + more).filter(F.col(f"{p}many") > 0).withColumn(f"{p}epoch", F.explode(F.sequence(F.lit(0), F.col(f"{p}many") - 1)))
 
 
-def selection(docs: DataFrame, target: Target, levels: Sequence[Column], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def selection(docs: DataFrame, target: Target, levels: Sequence[Column], doc_id: str = "doc_id", text: str = "text", tokens: Column | None = None) -> DataFrame:
     """(doc_id, domain, language, source, tokens, epoch) of everything selected."""
-    made = plan(docs, target, levels, doc_id, text)
+    made = plan(docs, target, levels, doc_id, text, tokens)
     keys = [f"__{name}" for name in LEVELS]
     out = _taken(made.slim.join(F.broadcast(made.cuts), keys), target, F.col("place"))
-    return out.select("doc_id", *[F.col(f"__{n}").alias(n) for n in LEVELS], "tokens", F.col("__epoch").alias("epoch"))
+    return out.select("doc_id", *[F.col(f"__{n}").alias(n) for n in LEVELS], "tokens", "epoch")
 
 
-def mix(docs: DataFrame, target: Target, levels: Sequence[Column], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents themselves, with all their columns, once for each epoch that selects them."""
-    made = plan(docs, target, levels, doc_id, text)
-    keys = [f"__{name}" for name in LEVELS]
-    rows = docs.select("*", *_leaf(docs, levels)).join(F.broadcast(made.cuts), keys)
-    return _taken(rows, target, _place(doc_id, text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+def mix(docs: DataFrame, target: Target, levels: Sequence[Column], doc_id: str = "doc_id", text: str = "text", made: Plan | None = None) -> DataFrame:
+    """The documents themselves, with all their columns, once for each epoch that selects them. made: a plan for the same documents."""
+    made = made or plan(docs, target, levels, doc_id, text)
+    p = spare(docs.columns)  # working columns cannot be taken for the user's
+    cuts = made.cuts.select(*[F.col(f"__{n}").alias(f"{p}{n}") for n in LEVELS], F.col("whole").alias(f"{p}whole"), F.col("cut").alias(f"{p}cut"))
+    rows = docs.select("*", *_leaf(docs, levels, p)).join(F.broadcast(cuts), [f"{p}{n}" for n in LEVELS])
+    return _taken(rows, target, _place(doc_id, text), p).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,11 +1,12 @@
-"""Registered query of source mixing (seeded by a hash that SQL lacks; tested against a brute-force version)."""
+"""Registered query of source mixing, in tokens of the byte-level vocabulary (seeded by a hash that SQL lacks; tested against a brute-force version)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import mixing
+from palimpsest.llm import mixing, separators
+from palimpsest.llm.separators_query import RANKS
 from palimpsest.llm.work import table
 
 DOMAINS = ("web", "books", "forum")
@@ -25,7 +26,8 @@ def levels() -> list[Column]:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.selection(table(spark, sf_dir, "documents"), TARGET, levels())
+    docs = separators.with_counts(table(spark, sf_dir, "documents"), RANKS)
+    return mixing.selection(docs, TARGET, levels(), tokens=F.col("n_tokens"))
 
 
 QUERIES = {"op10_source_mixing": op10_source_mixing}

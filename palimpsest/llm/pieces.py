@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from palimpsest.llm.work import small_batches
+from palimpsest.llm.work import position, small_batches
 
 MARK = "▁"
 LONG = 48  # longer stretches are streamed
@@ -433,7 +433,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", check: bool = False)
     small_batches(docs.sparkSession)
     added = ["ids", "n_tokens"] + ["round_trip"] * check
     docs = docs.drop(*[c for c in added if c != text])
-    at = docs.columns.index(text)
+    at = position(docs, text)
     fields = [*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
     fields += [T.StructField("round_trip", T.BooleanType())] * check
     names = [f.name for f in fields]
@@ -462,7 +462,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     """rows with text decoded from the column ids; null ids give null text."""
     small_batches(rows.sparkSession)
     rows = rows.drop("text")
-    at = rows.columns.index(ids)
+    at = position(rows, ids)
     schema = T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches):

@@ -6,7 +6,7 @@ scan stage: no shuffle, no Python.
 
 Defined results. A null or blank text has zero words, hence fails the base rule. Texts of any length
 are measured whole. Repeated rows are measured independently. An empty table gives an empty result.
-Columns of the input whose names equal an output column are replaced; all others are kept.
+Columns of the input whose names equal an output column, case aside, are replaced; all others are kept.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.work import spare, without
+
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 WORD_CHAR = "[^\\x20\\x09-\\x0D]"
@@ -91,29 +93,30 @@ def _repeat_starts(ranked: Column) -> Column:
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the columns of COUNTS (long)."""
-    keep = [c for c in df.columns if c not in COUNTS]
-    out = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    out = out.withColumn("__words", words_of(F.col("__text")))
-    words, body = F.col("__words"), F.col("__text")
+    keep = without(df.columns, *COUNTS)
+    p = spare(df.columns)  # working columns cannot be taken for the user's
+    out = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(f"{p}text"))
+    out = out.withColumn(f"{p}words", words_of(F.col(f"{p}text")))
+    words, body = F.col(f"{p}words"), F.col(f"{p}text")
     n = F.size(words)
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD_CHAR))
-    out = out.withColumn("__lines", lines).withColumn("__hashes", F.transform(words, lambda w: F.xxhash64(w)))
-    h = F.col("__hashes")  # named twice below, so that Catalyst does not move it into the lambda
+    out = out.withColumn(f"{p}lines", lines).withColumn(f"{p}hashes", F.transform(words, lambda w: F.xxhash64(w)))
+    h = F.col(f"{p}hashes")  # named twice below, so that Catalyst does not move it into the lambda
     windows = F.when(
         F.size(h) >= WINDOW,
         F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW))),
     ).otherwise(F.array().cast("array<bigint>"))
-    out = out.withColumn("__windows", windows)
-    out = out.withColumn("__ranked", _ranked(F.col("__windows")))
-    starts = F.when(F.col("__ranked").isNotNull(), _repeat_starts(F.col("__ranked")))
-    out = out.withColumn("__starts", F.coalesce(starts, F.array().cast("array<int>")))
+    out = out.withColumn(f"{p}windows", windows)
+    out = out.withColumn(f"{p}ranked", _ranked(F.col(f"{p}windows")))
+    starts = F.when(F.col(f"{p}ranked").isNotNull(), _repeat_starts(F.col(f"{p}ranked")))
+    out = out.withColumn(f"{p}starts", F.coalesce(starts, F.array().cast("array<int>")))
     counts = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        _covered(F.col("__starts")).cast("long").alias("n_repeat_words"),
-        F.size("__lines").cast("long").alias("n_lines"),
+        (F.size(f"{p}lines") - F.size(F.array_distinct(f"{p}lines"))).cast("long").alias("n_dup_lines"),
+        _covered(F.col(f"{p}starts")).cast("long").alias("n_repeat_words"),
+        F.size(f"{p}lines").cast("long").alias("n_lines"),
         F.size(F.filter(words, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
     )
     # A one-element generator: a later filter on the verdict is not pushed below it, where Catalyst would

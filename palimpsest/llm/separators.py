@@ -10,7 +10,8 @@ The scan sees three numbers for each block; places of ends stay in the table wri
 failed attempt leaves behind is never listed. `scan` reads any files listed as (path, n_bytes).
 
 Defined results. A document without tokens counts 0. Tokens after the last end of a file are one more document, with
-closed false. An empty file has no documents. A file whose size is no multiple of the id width raises an error. Null or
+closed false. An empty file has no documents. A file whose size is no multiple of the id width raises an error, and so does
+an id that the width cannot hold. Null or
 empty text is written as a document without tokens. Repeated rows are repeated documents.
 """
 
@@ -26,8 +27,9 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palimpsest.llm.work import fresh_path, small_batches, stage
+from palimpsest.llm.work import fresh_path, leave_nothing, position, small_batches, stage, without
 
 BLOCK_BYTES = 8 << 20
 # Fixed value: the public splitting pattern of this byte-level BPE vocabulary.
@@ -49,6 +51,8 @@ def write_token_files(docs: DataFrame, ranks: str, end_id: int, width: int = 2,
     spark = docs.sparkSession
     small_batches(spark)
     folder, dtype = fresh_path(spark, "tokens"), DTYPES[width]
+    if not 0 <= end_id <= np.iinfo(dtype).max:
+        raise ValueError(f"the end id does not fit into {width} bytes")
     ends = np.array([end_id], dtype=dtype)
 
     def run(batches):
@@ -61,6 +65,8 @@ def write_token_files(docs: DataFrame, ranks: str, end_id: int, width: int = 2,
             for b in batches:
                 for t in b.column(1):
                     ids = encoding.encode_to_numpy(t.as_py(), disallowed_special=()) if t.is_valid else ends[:0]
+                    if len(ids) and ids.max() > np.iinfo(dtype).max:
+                        raise ValueError(f"an id does not fit into {width} bytes")
                     out.write(ids.astype(dtype).tobytes())
                     out.write(ends.tobytes())
                     size += (len(ids) + 1) * width
@@ -73,13 +79,29 @@ def write_token_files(docs: DataFrame, ranks: str, end_id: int, width: int = 2,
 
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     made = stage(slim.mapInArrow(run, "path string, nth long, doc_id long, n_bytes long"), "token-list")
+    leave_nothing(spark, folder)
     files = made.filter("nth < 0").select(F.concat(F.lit(folder + "/"), "path").alias("path"), "n_bytes")
     return files, made.filter("nth >= 0").select(F.concat(F.lit(folder + "/"), "path").alias("path"), "nth", "doc_id")
 
 
+def with_counts(docs: DataFrame, ranks: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
+    """docs with the number of tokens of every whole text; 0 for null. A column of that name is replaced."""
+    small_batches(docs.sparkSession)
+    docs = docs.select(*[f"`{c}`" for c in without(docs.columns, *[name] * (name.lower() != text.lower()))])
+    at = position(docs, text)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType(), False)])
+
+    def run(batches):
+        encoding = _encoding(ranks)
+        for b in batches:
+            sizes = [len(encoding.encode_to_numpy(t.as_py(), disallowed_special=())) if t.is_valid else 0 for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int64())], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def search(files: DataFrame, end_id: int, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(path, block, n_ends, last, total, ends): places of the end id in each block, counted in tokens from the file's start."""
-    small_batches(files.sparkSession, 64)
     dtype, step = DTYPES[width], block_bytes // width * width
 
     def run(batches):

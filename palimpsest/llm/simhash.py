@@ -15,7 +15,8 @@ staged tables; nothing about the corpus is collected to the driver.
 
 Defined results. A null text and a text without words have fingerprint zero, which links like any other.
 Repeated rows are kept, each with its component. A null doc_id never names a component unless every reachable
-doc_id is null. Empty tables give empty results. Extra columns are ignored by `fingerprints`.
+doc_id is null. Empty tables give empty results. Extra columns are ignored by `fingerprints`. Components whose diameter
+needs more than MAX_ROUNDS rounds raise an error; each round about halves it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.work import small_batches, stage
+from palimpsest.llm.work import discard, small_batches, stage, stage_at
 
 SHINGLE = 3
 SEED = 42
@@ -238,13 +239,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def label(edges: DataFrame) -> DataFrame:
     """(node, root): for every node that has an edge, the least node of its component."""
     clean = lambda e: e.filter(F.col("u") != F.col("v")).distinct()
-    now = stage(clean(edges), "simhash-edges")
+    spark = edges.sparkSession
+    now, path = stage_at(clean(edges), "simhash-edges")
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = mark(now)
     for _ in range(MAX_ROUNDS):
         if not seen[0]:
             break
-        now = stage(clean(_star(clean(_star(now, True)), False)), "simhash-edges")
+        now, done = stage_at(clean(_star(clean(_star(now, True)), False)), "simhash-edges")
+        discard(spark, path)
+        path = done
         last, seen = seen, mark(now)
         if seen == last:
             break

@@ -22,6 +22,34 @@ def test_shortage_goes_to_siblings_before_ancestors():
     assert given == {("a", "en", "s1"): 10, ("a", "de", "s1"): 20, ("b", "en", "s1"): 0}
 
 
+def plain_budgets(have, target):
+    """Budgets by pouring: small drops go down the tree, at every node to the child furthest below its share that has room."""
+    depth = len(next(iter(have), ()))
+    paths = {p[:k] for p in have for k in range(depth + 1)}
+    usable = {p: all(target.weights.get(p[:k], 1.0) > 0 for k in range(1, depth + 1)) for p in have}
+    room = {q: sum(n * target.epochs for p, n in have.items() if usable[p] and p[: len(q)] == q) for q in paths}
+
+    def pour(q, budget):
+        below = sorted(c for c in paths if len(c) == len(q) + 1 and c[: len(q)] == q)
+        if not below:
+            return {q: budget}
+        weight = {c: float(target.weights.get(c, 1.0)) if room[c] > 0 else 0.0 for c in below}
+        given = {c: 0.0 for c in below}
+        # The level L at which the sum of min(L * weight, room) is the budget, by bisection.
+        budget = min(budget, sum(room[c] for c in below if weight[c]))
+        low, high = 0.0, max((room[c] / weight[c] for c in below if weight[c]), default=0.0)
+        for _ in range(200):
+            level = (low + high) / 2
+            if sum(min(level * weight[c], room[c]) for c in below) < budget:
+                low = level
+            else:
+                high = level
+        given = {c: min(high * weight[c], room[c]) for c in below}
+        return {p: b for c in below for p, b in pour(c, given[c]).items()}
+
+    return {p: int(b + 1e-6) for p, b in pour((), target.share * sum(have.values())).items()} if have else {}
+
+
 def brute(spark, rows, target):
     """The same contract in plain Python; only the hash comes from Spark."""
     df = spark.createDataFrame(list(enumerate(rows)), "r int, x struct<doc_id:long,text:string,domain:string,lang:string,source:string>")
@@ -34,6 +62,8 @@ def brute(spark, rows, target):
     size = {r: len((x[1] or "").split()) for r, x in enumerate(rows)}
     have = {k: sum(size[r] for r in v) for k, v in leaves.items()}
     out = []
+    given = plain_budgets(have, target)
+    assert all(abs(given[p] - b) <= 1 for p, b in mixing.budgets(have, target).items())
     for leaf, budget in mixing.budgets(have, target).items():
         if not have[leaf]:
             continue
@@ -74,3 +104,20 @@ def test_mix_keeps_columns_and_rows(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, domain string, lang string, source string")
     assert mixing.selection(df, mixing.Target({}), levels()).collect() == []
+
+
+def test_budgets_equal_pouring():
+    rng = random.Random(11)
+    for _ in range(60):
+        have = {(rng.choice("ab"), rng.choice("xyz"), f"s{k}"): rng.choice([0, 3, 50, 4000]) for k in range(rng.randint(1, 9))}
+        weights = {p[:k]: rng.choice([0, 0.5, 1, 4]) for p in have for k in (1, 2, 3) if rng.random() < 0.5}
+        target = mixing.Target(weights, share=rng.choice([0.1, 0.7, 3.0]), epochs=rng.randint(1, 3))
+        want = plain_budgets(have, target)
+        assert all(abs(want[p] - b) <= 1 for p, b in mixing.budgets(have, target).items())
+
+
+def test_given_token_counts_decide(spark):
+    rows = [(i, "text without spaces", "a", "en", "s", 10 if i else 1000) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string, lang string, source string, n long")
+    got = mixing.selection(df, mixing.Target({}, share=0.3, epochs=1), levels(), tokens=F.col("n")).collect()
+    assert sum(r.tokens for r in got) <= 0.3 * 1490 and all(r.tokens == (10 if r.doc_id else 1000) for r in got)

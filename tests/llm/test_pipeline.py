@@ -1,12 +1,37 @@
 import corpus_pipeline as pipeline
-from palimpsest.llm import language, mixing, pieces, simhash
-from test_mixing import brute as brute_mix  # noqa: F401
+from palimpsest.llm import language, pieces, separators, simhash
+from pyspark.sql import functions as F
+from test_mixing import plain_budgets
 from test_quality import brute as brute_quality
 from test_simhash import brute_components, brute_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
 
+def plain_mixture(docs):
+    """Ids of the selected documents, with repeats; only the seeded hash comes from Spark, tokens are counted by the library."""
+    target = pipeline.TARGET
+    place = F.xxhash64("doc_id", "text")
+    hashes = [F.shiftrightunsigned(F.xxhash64(F.lit(target.seed), F.lit(e), place), 1).alias(f"e{e}") for e in range(target.epochs + 1)]
+    rows = docs.select("doc_id", "text", *[c.alias(n) for c, n in zip(pipeline.levels(), ("d", "l", "s"), strict=True)], *hashes).collect()
+    encoding = separators._encoding(pipeline.RANKS)
+    leaves = {}
+    for r in rows:
+        leaves.setdefault((r.d, r.l, r.s), []).append((r, len(encoding.encode_ordinary(r.text))))
+    have = {p: sum(n for _, n in v) for p, v in leaves.items()}
+    out = []
+    for path, budget in plain_budgets(have, target).items():
+        whole = min(target.epochs, budget // have[path]) if have[path] else 0
+        out += [r.doc_id for r, _ in leaves[path]] * whole
+        left = budget - whole * have[path] if whole < target.epochs else 0
+        for r, n in sorted(leaves[path], key=lambda x: x[0][f"e{whole}"]):
+            if n > left:
+                break
+            left -= n
+            out.append(r.doc_id)
+    return sorted(out)
+
+
 def test_stages_equal_a_plain_version(spark):
     """Each stage against plain Python over the rows of the stage before."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
@@ -30,8 +55,7 @@ def test_stages_equal_a_plain_version(spark):
     assert sorted(r.doc_id for r in alone.collect()) == sorted(heads)
 
     mixed = steps["source_mixture"](spark, alone, SF).cache()
-    picked = mixing.selection(alone, pipeline.TARGET, pipeline.levels()).collect()
-    assert sorted(r.doc_id for r in mixed.collect()) == sorted(r.doc_id for r in picked)
+    assert sorted(r.doc_id for r in mixed.collect()) == plain_mixture(alone)
     for frame in (ruled, spoken, alone, mixed):
         assert frame.columns == docs.columns
 
