@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 # Elements that begin a new block; elements whose content is never text of the page; elements without
@@ -36,9 +37,13 @@ _MARKUP = re.compile(
 _NAMES = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+OUTER, INNER = 6, 12  # elements of a path that are kept at its two ends
+
+
 class Leaf(NamedTuple):
     text: str
-    path: tuple[str, ...]  # outermost first: a tag and the words of its class, id and role
+    path: tuple[str, ...]  # outermost first: a tag and the words of its class, id and role; of a deep one both ends
+    depth: int
     link_chars: int
 
 
@@ -67,11 +72,15 @@ def leaves(page: str | None) -> list[Leaf]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Leaf(text, tuple(keys), link_chars))
+                path = keys if len(keys) <= OUTER + INNER else keys[:OUTER] + keys[-INNER:]
+                out.append(Leaf(text, tuple(path), len(keys), link_chars))
             parts.clear()
         link_chars = 0
 
+    open_: Counter[str] = Counter()
+
     def drop_to(k: int) -> None:
+        open_.subtract(stack[k:])
         del stack[k:]
         del keys[k:]
 
@@ -123,12 +132,15 @@ def leaves(page: str | None) -> list[Leaf]:
             continue
         flush()
         if ending:
-            if tag in stack:
-                drop_to(len(stack) - 1 - stack[::-1].index(tag))
+            if open_[tag]:
+                k = len(stack) - 1
+                while stack[k] != tag:
+                    k -= 1
+                drop_to(k)
             continue
         if stack and stack[-1] == "p" and tag in CLOSES_P:
             drop_to(len(stack) - 1)
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and any(open_[x] for x in SIBLINGS[tag][0]):
             same, until = SIBLINGS[tag]
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k] in until:
@@ -137,6 +149,7 @@ def leaves(page: str | None) -> list[Leaf]:
                     drop_to(k)
                     break
         if tag not in EMPTY:
+            open_[tag] += 1
             stack.append(tag)
             keys.append(_key(tag, m["attrs"] or ""))
     flush()

@@ -1,19 +1,20 @@
 """HTML extraction by a recurrent block labeller.
 
 A page becomes a sequence of blocks (module blocks). Every block has a tag-path vector, a hashed-word vector and a
-few ratios; a bidirectional LSTM in numpy reads the sequence of the whole page in both directions and labels each
+few ratios, among them the density of text and links in the element that holds it; a bidirectional LSTM in numpy reads the sequence of the whole page in both directions and labels each
 block as article or not. The article blocks, in page order, joined by an empty line, are the text.
 
 The network is trained on seeded pages of known layout (module pages_made), never on the input, so the result of a
 page depends on that page alone: scan stage only, no shuffle. Pages go through the network in groups of like length.
 
 Defined results. Null or empty html, or a page without article blocks, gives the empty string and 0 characters.
-Pages of any length are read whole. Repeated rows are extracted alike; empty tables give empty results; input columns
+Pages of any length and depth are read whole; of a path deeper than blocks.OUTER + INNER its two ends are kept. Repeated rows are extracted alike; empty tables give empty results; input columns
 that clash with the outputs are replaced.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from functools import lru_cache
 
@@ -23,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from palimpsest.llm.blocks import Leaf, leaves
-from palimpsest.llm.pages_made import Maker
+from palimpsest.llm.pages_made import Maker, known_words
 from palimpsest.llm.work import small_batches, without
 
-PATH = 96
+TAGS = 32
+NAMES = {w: k for k, w in enumerate(known_words())}
+PATH = 2 * TAGS + len(NAMES) + 1
 WORDS = 32
-RATIOS = 6
+RATIOS = 11
 INPUT = PATH + WORDS + RATIOS
 HIDDEN = 20
 MEMO = 100_000
@@ -51,16 +54,39 @@ _BUCKETS = Buckets()
 
 @lru_cache(maxsize=MEMO)
 def _path(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed tag path: element words anywhere on the path, and again for the innermost elements."""
+    """Tag path: hashed tags anywhere on the path and again for the innermost two, usual names of parts, and whether others occur."""
     v = np.zeros(PATH, dtype=np.float32)
     for k, key in enumerate(path):
-        for w in key.split(" "):
-            v[zlib.crc32(w.encode()) % (PATH * 2 // 3)] = 1
+        tag, *words = key.split(" ")
+        v[zlib.crc32(tag.encode()) % TAGS] = 1
         if k >= len(path) - 2:
-            v[PATH * 2 // 3 + zlib.crc32(f"{len(path) - k} {key.split(' ')[0]}".encode()) % (PATH // 3)] = 1
+            v[TAGS + zlib.crc32(f"{len(path) - k} {tag}".encode()) % TAGS] = 1
+        for w in words:
+            v[2 * TAGS + NAMES.get(w, len(NAMES))] = 1
     return v
 
 
+def _density(page: list[Leaf]) -> list[tuple[float, float, float, float, float]]:
+    """For each block: words, share of link text and number of blocks in the element that holds its own, the same share a level up,
+    and its part of the page's words."""
+    held: dict[tuple, list[int]] = {}
+    total = 0
+    for leaf in page:
+        n = leaf.text.count(" ") + 1
+        total += n
+        for up in (1, 2):
+            one = held.setdefault((up, leaf.depth, leaf.path[:-up]), [0, 0, 0, 0])
+            one[0] += n
+            one[1] += min(leaf.link_chars, len(leaf.text))
+            one[2] += len(leaf.text)
+            one[3] += 1
+    out = []
+    for leaf in page:
+        a, b = held[1, leaf.depth, leaf.path[:-1]], held[2, leaf.depth, leaf.path[:-2]]
+        out.append((math.log1p(a[0]) / 6, a[1] / a[2], math.log1p(a[3]) / 4, b[1] / b[2], a[0] / total))
+    return out
+
+
 def features(pages: list[list[Leaf]]) -> list[np.ndarray]:
     """The vectors of all blocks of each page."""
     every = [leaf for page in pages for leaf in page]
@@ -77,8 +103,9 @@ def features(pages: list[list[Leaf]]) -> list[np.ndarray]:
         ratios[:, 1] = [min(1.0, leaf.link_chars / len(leaf.text)) for leaf in every]
         ratios[:, 2] = [leaf.text[-1] in ".!?:\"'" for leaf in every]
         ratios[:, 3] = [k / len(page) for page in pages for k in range(len(page))]
-        ratios[:, 4] = [len(leaf.path) / 10 for leaf in every]
-        ratios[:, 5] = 1
+        ratios[:, 4] = [min(leaf.depth, 30) / 10 for leaf in every]
+        ratios[:, 5:10] = [d for page in pages for d in _density(page)]
+        ratios[:, 10] = 1
     return np.split(x, np.cumsum([len(p) for p in pages])[:-1])
 
 
@@ -209,7 +236,7 @@ def made(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 @lru_cache(maxsize=2)
-def trained(n_pages: int = 1500, epochs: int = 6, seed: int = 11) -> Labeller:
+def trained(n_pages: int = 4000, epochs: int = 8, seed: int = 11) -> Labeller:
     """The labeller, trained on n_pages seeded pages."""
     data, model = made(n_pages, seed), Labeller(seed)
     rng = np.random.default_rng(seed)

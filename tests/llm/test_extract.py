@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from layouts import LAYOUTS
 from palimpsest.llm import blocks, extract, extract_query
 
 
@@ -50,6 +51,54 @@ def test_unseen_layouts(model):
     assert right.mean() > 0.97
 
 
+@pytest.mark.parametrize("name", list(LAYOUTS))
+def test_hand_written_layouts(model, name):
+    page = LAYOUTS[name]
+    want = "\n\n".join(x.text.replace("§", "") for x in blocks.leaves(page) if "§" in x.text)
+    assert extract.main_texts(model, [page.replace("§", "")]) == [want]
+
+
+def plain_scores(net, page):
+    """The network written out block by block, with no batches, masks or stacked gates."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    n = extract.HIDDEN
+
+    def one_way(direction, xs):
+        h, c, out = np.zeros(n), np.zeros(n), []
+        for x in xs:
+            i, f, g, o = (x @ direction.wx[:, k * n : (k + 1) * n] + h @ direction.wh[:, k * n : (k + 1) * n] + direction.b[k * n : (k + 1) * n] for k in range(4))
+            c = sig(f) * c + sig(i) * np.tanh(g)
+            h = sig(o) * np.tanh(c)
+            out.append(h)
+        return out
+
+    xs = page.astype(np.float64)
+    ahead, back = one_way(net.ahead, xs), one_way(net.back, xs[::-1])[::-1]
+    return [float(np.concatenate([a, b, x]) @ net.out + net.bias[0]) for a, b, x in zip(ahead, back, xs, strict=True)]
+
+
+def test_plain_forward_pass(model):
+    data = [x for x, _ in extract.made(25, seed=77)]
+    found = model.label(data)
+    for page, got in zip(data, found, strict=True):
+        want = plain_scores(model, page)
+        x, mask = extract.padded([page])
+        assert np.allclose(model.scores(x, mask)[0][:, 0], want, atol=1e-3)
+        assert all(g == (w > 0) for g, w in zip(got, want, strict=True) if abs(w) > 1e-2)
+
+
+def test_deep_nesting_within_bounds(model):
+    """100,000 nested elements with text at every depth, in bounded memory and linear time."""
+    import resource
+
+    page = "<div>x" * 100_000 + "</div>" * 100_000 + "</section>" * 1000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = blocks.leaves(page)
+    assert len(got) == 100_000 and max(len(x.path) for x in got) == blocks.OUTER + blocks.INNER and got[-1].depth == 100_000
+    assert len(extract.main_texts(model, [page])) == 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+
+
 def test_gradients_match_differences():
     net = extract.Labeller(3)
     rng = np.random.default_rng(0)
