@@ -17,6 +17,8 @@ from palimpsest.llm.work import stage, table
 
 #: A prediction below this is no language: with four labels, chance is a quarter.
 LEAST_SCORE = 0.3
+#: What near-duplicates share: words of a shingle, and Jaccard similarity of the sets of shingles.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near-duplicates."""
-    return simhash.keep_first(docs).select(*docs.columns)
+    """One document, that with the smallest doc_id, of each group of near-duplicates: shingles of SHINGLE words, SIMILARITY or more."""
+    return simhash.keep_first(docs, shingle=SHINGLE, similarity=SIMILARITY).select(*docs.columns)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

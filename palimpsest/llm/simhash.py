@@ -13,6 +13,11 @@ again by bands of the remaining bits, and what is still too large is cut into bl
 So no link is lost and no task grows with a key. Components come from large-star and small-star rounds over
 staged tables; nothing about the corpus is collected to the driver.
 
+Wider similarity. Three bits of 64 stand for nearly equal texts. With `similarity`, signatures of WIDE * 64 bits are made of the
+same hashes; two texts whose shingle sets have that Jaccard similarity are expected to differ in a known part of the bits, and
+link at that many and one standard deviation more. Candidates agree in one of WIDE_BANDS sets of WIDE_BITS bits, set by a fixed
+rule; pivot tables and bits decide as above. So links are found by an estimate: of pairs at similarity 0.8 most, at 0.9 nearly all.
+
 Defined results. A null text and a text without words have fingerprint zero, which links like any other.
 Repeated rows are kept, each with its component. A null doc_id never names a component unless every reachable
 doc_id is null. Empty tables give empty results. Extra columns are ignored by `fingerprints`. Components whose diameter
@@ -21,6 +26,7 @@ needs more than MAX_ROUNDS rounds raise an error; each round about halves it.
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
@@ -40,32 +46,67 @@ SUB_BITS = 12
 MAX_RUN = 2048
 BLOCK = 1024
 N_PIVOTS = 24
+WIDE = 4
+WIDE_BANDS, WIDE_BITS = 48, 20
 MAX_ROUNDS = 40
 
 #: Each byte value as eight counters of one byte, most significant bit first in memory.
 _SPREAD = np.array([sum(((b >> (7 - k)) & 1) << (8 * k) for k in range(8)) for b in range(256)], dtype=np.uint64)
 
 
-def pivots(n: int = N_PIVOTS) -> np.ndarray:
-    """Reference fingerprints from a fixed rule: hashes of 0, 1, 2, ..."""
-    return np.array([xxhash.xxh64_intdigest(str(k).encode(), SEED) for k in range(n)], dtype=np.uint64)
+def pivots(n: int = N_PIVOTS, words: int = 1) -> np.ndarray:
+    """(n, words) reference fingerprints from a fixed rule: hashes of 0, 1, 2, ..."""
+    return np.array([xxhash.xxh64_intdigest(str(k).encode(), SEED) for k in range(n * words)], dtype=np.uint64).reshape(n, words)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of one whole text."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of all shingles of one whole text, repeats included; none for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    if len(words) < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-    n = len(words) - shingle + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), dtype=np.uint64, count=n)
-    octets = hashes.astype(">u8").view(np.uint8).reshape(n, 8)
-    counts = np.zeros(64, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    grams = map(b" ".join, zip(*(words[k : k + n] for k in range(min(shingle, len(words)))), strict=True))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), dtype=np.uint64, count=n)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """For (n, words) hashes the bytes whose bits are set in over half the rows."""
+    n, words = hashes.shape
+    octets = hashes.astype(">u8").view(np.uint8).reshape(n, 8 * words)
+    counts = np.zeros(64 * words, dtype=np.int64)
     for k in range(0, n, 255):  # a counter of one byte holds 255 rows
         counts += _SPREAD[octets[k : k + 255]].sum(axis=0, dtype=np.uint64).view(np.uint8)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return np.packbits(2 * counts > n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of one whole text."""
+    hashes = shingle_hashes(text, shingle, seed)
+    return int.from_bytes(majority(hashes[:, None]).tobytes(), "big") if len(hashes) else 0
+
+
+def signature(text: str | None, shingle: int, seed: int = SEED) -> bytes:
+    """SimHash of WIDE * 64 bits: each hash is mixed into WIDE further ones."""
+    h = np.unique(shingle_hashes(text, shingle, seed))
+    x = h[:, None] + np.arange(1, WIDE + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return majority(x ^ (x >> np.uint64(31))).tobytes() if len(h) else bytes(8 * WIDE)
+
+
+def wide_radius(similarity: float) -> int:
+    """Bits in which signatures of texts of a Jaccard similarity are expected to differ, and one standard deviation more."""
+    bits = 64 * WIDE
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def wide_bands() -> np.ndarray:
+    """(WIDE_BANDS, WIDE_BITS) bit positions from a fixed rule: pieces of shuffled positions."""
+    rng = np.random.default_rng(SEED)
+    per = 64 * WIDE // WIDE_BITS
+    rows = [rng.permutation(64 * WIDE)[: per * WIDE_BITS].reshape(per, WIDE_BITS) for _ in range(-(-WIDE_BANDS // per))]
+    return np.concatenate(rows)[:WIDE_BANDS]
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,6 +122,20 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return slim.mapInArrow(run, "doc_id long, fp long")
 
 
+def signatures(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, sig): sig is the wide signature, fp a hash of it that names it."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            sigs = [signature(t.as_py(), shingle) for t in b.column(1)]
+            names = np.array([xxhash.xxh64_intdigest(s, SEED) for s in sigs], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "fp", "sig"])
+
+    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return slim.mapInArrow(run, "doc_id long, fp long, sig binary")
+
+
 # --- links inside runs of equal keys ---------------------------------------------------------------------------
 
 
@@ -105,15 +160,21 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def forest(keys: np.ndarray, fps: np.ndarray, cut: np.ndarray | None = None, radius: int = RADIUS) -> np.ndarray:
     """Parent positions of a spanning forest of the links between rows with equal keys.
 
-    keys must be sorted. With cut (0 or 1 for each row), only pairs with differing cut are compared.
+    keys must be sorted; fps is (n,) or (n, words). With cut (0 or 1 for each row), only pairs with differing cut are compared.
     """
     n = len(fps)
+    fps = fps.reshape(n, -1)
     parent = np.arange(n)
-    rows = np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int16)
+    rows = np.stack([np.bitwise_count(fps ^ p).sum(axis=1, dtype=np.int16) for p in pivots(words=fps.shape[1])], axis=1)
     offset, live = 1, np.arange(n - 1)
     while len(live):
         live = live[live + offset < n]
         live = live[keys[live] == keys[live + offset]]
+        if offset % 16 == 0 and len(live):  # runs whose rows are all tied need no more pairs
+            root = _find(parent, np.arange(n))
+            begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            one = np.minimum.reduceat(root, begin) == np.maximum.reduceat(root, begin)
+            live = live[~np.repeat(one, np.diff(np.r_[begin, n]))[live]]
         i, j = live, live + offset
         if cut is not None:
             apart = cut[i] != cut[j]
@@ -121,24 +182,26 @@ def forest(keys: np.ndarray, fps: np.ndarray, cut: np.ndarray | None = None, rad
         for p in range(rows.shape[1]):  # the table: discard by the maximum coordinate difference
             near = np.abs(rows[i, p] - rows[j, p]) <= radius
             i, j = i[near], j[near]
-        near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
+        near = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= radius
         if near.any():
             _union(parent, i[near], j[near])
         offset += 1
     return _find(parent, np.arange(n))
 
 
-def _linked(keyed: DataFrame, key: list[str], cut: bool = False) -> DataFrame:
-    """(u, v) forest edges of all runs of equal key columns; keyed has key columns, fp and maybe cut."""
+def _linked(keyed: DataFrame, key: list[str], cut: bool = False, radius: int = RADIUS) -> DataFrame:
+    """(u, v) forest edges of all runs of equal key columns; keyed has key columns, fp, maybe cut, and maybe sig to be compared in its place."""
+    wide = "sig" in keyed.columns
     schema = "u long, v long"
 
     def edges(table: pa.Table):
         names = [table.column(k).to_numpy() for k in key]
         fps = table.column("fp").to_numpy().view(np.uint64)
+        bits = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint64).reshape(len(fps), -1) if wide else fps
         change = np.zeros(len(fps), dtype=bool)
         for c in names:
             change[1:] |= c[1:] != c[:-1]
-        root = forest(np.cumsum(change), fps, table.column("cut").to_numpy() if cut else None)
+        root = forest(np.cumsum(change), bits, table.column("cut").to_numpy() if cut else None, radius)
         move = root != np.arange(len(fps))
         return pa.RecordBatch.from_arrays(
             [pa.array(fps[move].view(np.int64)), pa.array(fps[root[move]].view(np.int64))], ["u", "v"]
@@ -205,20 +268,44 @@ def links(distinct: DataFrame) -> DataFrame:
     out = plain.unionByName(_linked(second.join(dense, ["k1", "k2"], "left_anti"), ["k1", "k2"]))
     if dense.isEmpty():
         return out
-    # Every two blocks of a dense key meet once: block a takes the pairs (a, b) for all b, as lower and as upper.
-    third = second.join(dense, ["k1", "k2"])
-    third = third.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    third = third.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    third = third.select(
-        "k1", "k2", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp",
-        (F.col("mine") > F.col("other")).cast("int").alias("cut"),
-    )
-    within = third.filter("lo = hi").drop("cut")
-    across = third.filter("lo < hi")
+    within, across = _blocked(second.join(dense, ["k1", "k2"]), ["k1", "k2"], ["fp"])
     keys = ["k1", "k2", "lo", "hi"]
     return out.unionByName(_linked(within, keys)).unionByName(_linked(across, keys, cut=True))
 
 
+def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """(u, v) edges over distinct signatures (columns fp, sig) whose components are those of all links that share a band."""
+    places = wide_bands()
+    weights = 1 << np.arange(WIDE_BITS, dtype=np.int64)
+
+    def key(batches):
+        for b in batches:
+            octets = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
+            bits = np.unpackbits(octets, axis=1)
+            keys = np.stack([bits[:, p].astype(np.int64) @ weights + (k << WIDE_BITS) for k, p in enumerate(places)], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(places)), pa.array(keys.ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], ["fp", "sig", "keys"])
+
+    keyed = nodes.select("fp", "sig").mapInArrow(key, "fp long, sig binary, keys array<int>").select(F.explode("keys").alias("k1"), "fp", "sig")
+    crowded = nodes.select("fp", "sig").mapInArrow(key, "fp long, sig binary, keys array<int>").select(F.explode("keys").alias("k1"))
+    crowded = crowded.groupBy("k1").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_RUN)
+    crowded = stage(crowded.select("k1", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "simhash-crowded")
+    if crowded.isEmpty():
+        return _linked(keyed, ["k1"], radius=radius)
+    plain = _linked(keyed.join(crowded, "k1", "left_anti"), ["k1"], radius=radius)
+    within, across = _blocked(keyed.join(crowded, "k1"), ["k1"], ["fp", "sig"])
+    keys = ["k1", "lo", "hi"]
+    return plain.unionByName(_linked(within, keys, radius=radius)).unionByName(_linked(across, keys, True, radius))
+
+
+def _blocked(rows: DataFrame, key: list[str], more: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Every two blocks of a dense key meet once: (rows within a block, rows of two blocks with `cut`)."""
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(*key, F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), *more, (F.col("mine") > F.col("other")).cast("int").alias("cut"))
+    return rows.filter("lo = hi").drop("cut"), rows.filter("lo < hi")
+
+
 # --- components --------------------------------------------------------------------------------------------------
 
 
@@ -228,7 +315,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # Staged, so that below the join there are plain exchanges only, and adaptive execution can split a hub's rows.
+    least = stage(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "simhash-least")
     out = near.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"), "u")
     if large:
         return out.filter(F.col("a") > F.col("u")).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -257,34 +345,44 @@ def label(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def components(prints: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of prints (doc_id, fp); prints should be a staged table."""
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of prints (doc_id, fp, or sig too); prints should be a staged table.
+
+    With sig, signatures link at radius bits; without, fingerprints at RADIUS, for which the bands are made.
+    """
+    wide = "sig" in prints.columns
+    if not wide and radius != RADIUS:
+        raise ValueError(f"fingerprints of 64 bits link at {RADIUS} bits; use signatures for more")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), *[F.first("sig").alias("sig")] * wide)
     nodes = stage(nodes, "simhash-nodes")
-    edges = stage(links(nodes.select("fp")), "simhash-links")
+    edges = stage(wide_links(nodes, radius) if wide else links(nodes.select("fp")), "simhash-links")
     if edges.isEmpty():
         named = nodes.select("fp", F.col("first").alias("component_id"))
     else:
         tied = nodes.join(label(edges), nodes["fp"] == F.col("node"), "left").select(
             "fp", "first", F.coalesce("root", "fp").alias("root")
         )
-        least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
+        least = stage(tied.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-named")
         named = tied.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every document."""
-    return components(stage(fingerprints(docs, doc_id, text), "simhash-prints"))
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) of every document: by RADIUS bits of 64, or by the Jaccard similarity of shingle sets."""
+    if similarity is None:
+        if shingle != SHINGLE:
+            raise ValueError(f"fingerprints are made of {SHINGLE} words; give a similarity for others")
+        return components(stage(fingerprints(docs, doc_id, text), "simhash-prints"))
+    return components(stage(signatures(docs, shingle, doc_id, text), "simhash-prints"), wide_radius(similarity))
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The document with the smallest doc_id of each component; of repeated rows of that doc_id, one row.
 
     Documents without doc_id belong to no component that can be named, and all stay. Texts are shuffled once.
     """
     name = F.col(f"`{doc_id}`")
-    heads = near_duplicates(docs, doc_id, text).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    heads = near_duplicates(docs, doc_id, text, shingle, similarity).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     heads = stage(heads.withColumnRenamed("doc_id", doc_id), "simhash-heads")
     # As many ids as documents: never to be broadcast, so the same plan at every size.
     kept = docs.join(heads.filter("rows = 1").select(name).hint("merge"), doc_id, "left_semi")

@@ -15,8 +15,32 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(pairs):
-    """pairs: (doc_id, fp); {doc_id: component}."""
+def brute_signature(text, shingle):
+    """The wide signature as an integer, bit by bit."""
+    words = (text or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
+    grams = {b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)} or ({b" ".join(words)} if words else set())
+    full, out = (1 << 64) - 1, 0
+    for w in range(1, simhash.WIDE + 1):
+        counts = [0] * 64
+        for g in grams:
+            x = (xxhash.xxh64_intdigest(g, 42) + w * 0x9E3779B97F4A7C15) & full
+            x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & full
+            x = ((x ^ x >> 27) * 0x94D049BB133111EB) & full
+            x ^= x >> 31
+            for b in range(64):
+                counts[b] += x >> b & 1
+        out = out << 64 | sum(1 << b for b in range(64) if 2 * counts[b] > len(grams))
+    return out
+
+
+def brute_wide(a, b, radius):
+    """Whether two wide signatures agree in a band and differ in at most radius bits. Bit positions count from the first bit."""
+    n, x = 64 * simhash.WIDE, a ^ b
+    return x.bit_count() <= radius and any(all(not x >> (n - 1 - int(p)) & 1 for p in band) for band in simhash.wide_bands())
+
+
+def brute_components(pairs, linked=lambda a, b: bin(a ^ b).count("1") <= 3):
+    """pairs: (doc_id, fp); [(doc_id, component)]."""
     ids = {}
     parent = {}
 
@@ -32,7 +56,7 @@ def brute_components(pairs):
     fps = list(parent)
     for i, a in enumerate(fps):
         for b in fps[i + 1 :]:
-            if bin(a ^ b).count("1") <= 3:
+            if linked(a, b):
                 parent[find(a)] = find(b)
     least = {}
     for d, f in pairs:
@@ -115,3 +139,52 @@ def test_edges(spark):
     assert got == [(-1, 4), (2, 2), (4, 4), (4, 4), (8, 8), (9, 8)]
     kept = sorted(r.doc_id or -1 for r in simhash.keep_first(df).collect())
     assert kept == [-1, 2, 4, 8]
+
+
+def edited(rng, words, share):
+    return [rng.choice(["new", "other", "word"]) + str(rng.randrange(9999)) if rng.random() < share else w for w in words]
+
+
+def jaccard(a, b, n=5):
+    x, y = ({tuple(t[i : i + n]) for i in range(len(t) - n + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts_are_linked(spark, monkeypatch):
+    """Groups by similarity: equal to brute force with plain and with crowded keys; near pairs caught, unrelated texts alone."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        texts += [base, edited(rng, base, 0.01), edited(rng, base, 0.03)]
+    big = [word() for _ in range(200)]
+    texts += [edited(rng, big, 0.008) for _ in range(90)] + [[word() for _ in range(120)] for _ in range(100)] + [[], [], ["a", "b"], ["a", "b"]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(900, None), (None, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 k1", "2 sig", "3 cut").repartition(3)
+    radius = simhash.wide_radius(0.8)
+    assert 39 <= radius <= 50
+    prints = [(d if d is not None else float("inf"), brute_signature(t, 5)) for d, t in rows]
+    assert all(int.from_bytes(simhash.signature(t, 5), "big") == f for (_, t), (_, f) in zip(rows, prints, strict=True))
+    want = [(d if d != float("inf") else None, c if c != float("inf") else None) for d, c in brute_components(prints, lambda a, b: brute_wide(a, b, radius))]
+    for run, block in ((2048, 1024), (20, 8)):
+        monkeypatch.setattr(simhash, "MAX_RUN", run)
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs, shingle=5, similarity=0.8).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    group = dict(want)
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if len(texts[a]) > 5 < len(texts[b]) and jaccard(texts[a], texts[b]) >= 0.8]
+    assert len(near) > 1000 and np.mean([group[a] == group[b] for a, b in near]) > 0.95
+    assert len({group[k] for k in range(210, 310)}) == 100
+    kept = simhash.keep_first(docs, shingle=5, similarity=0.8)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for _, c in want if c is not None})
+
+
+def test_settings_that_do_not_go_together(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    for bad in (lambda: simhash.near_duplicates(docs, shingle=5), lambda: simhash.components(simhash.fingerprints(docs), 5)):
+        try:
+            bad()
+        except ValueError:
+            continue
+        raise AssertionError
