@@ -279,7 +279,7 @@ def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
     weights = 1 << np.arange(WIDE_BITS, dtype=np.int64)
 
     def key(batches):
-        for b in batches:
+        for b in (whole.slice(lo, 4096) for whole in batches for lo in range(0, whole.num_rows, 4096)):
             octets = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
             bits = np.unpackbits(octets, axis=1)
             keys = np.stack([bits[:, p].astype(np.int64) @ weights + (k << WIDE_BITS) for k, p in enumerate(places)], axis=1)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 #: Arrow batches are kept to so many bytes (and one row), so that a batch of very long texts fits a Python worker.
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 1 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
