@@ -325,8 +325,12 @@ def parse(transcripts: DataFrame, model: Model, conv_id: str = "conv_id", turn:
     rows = stage(rows, "chat-rows")
     # Crowded fragments are cut by turn, and each turn by ranges of the hash that orders its rows.
     place = ["lone", "conv", "frag"]
-    crowded = rows.groupBy(*place).agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).withColumn("cuts", F.ceil(F.col("n") / CROWDED))
-    cut = F.col("turn") % FRAGMENT * CUTS + F.floor(F.col("at") / float(1 << 63) * F.least("cuts", F.lit(CUTS - 1)))
-    rows = rows.join(crowded.drop("n"), place, "left").withColumn("sub", F.coalesce(cut, F.lit(0)).cast("long")).drop("cuts")
+    crowded = rows.groupBy(*place).agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).select(*place, F.ceil(F.col("n") / CROWDED).alias("cuts"))
+    crowded = stage(crowded, "chat-crowded")
+    if crowded.isEmpty():
+        rows = rows.withColumn("sub", F.lit(0).cast("long"))
+    else:
+        cut = F.col("turn") % FRAGMENT * CUTS + F.floor(F.col("at") / float(1 << 63) * F.least("cuts", F.lit(CUTS - 1)))
+        rows = rows.join(crowded, place, "left").withColumn("sub", F.coalesce(cut, F.lit(0)).cast("long")).drop("cuts")
     states = stage(stitch(stage(reduce_fragments(rows, model), "chat-matrices")), "chat-states")
     return decode(rows, states, model)
