@@ -7,6 +7,7 @@ frames; `run_systems` commits them.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,19 +54,25 @@ def _draw(key: Column, *salt) -> Column:
     return F.pmod(F.xxhash64(key, *[F.lit(s) for s in salt]), F.lit(1_000_003)) / 1_000_003.0
 
 
-def make_chain(table: DataFrame, key: Column, editable: list[str], cfg: ChainConfig = ChainConfig()) -> list[DataFrame]:
+def md5_draw(key: Column, *salt) -> Column:
+    """The same by a hash that other engines have too: the first 32 bits of the md5 of key and salt, joined by |."""
+    text = F.concat_ws("|", key, *[F.lit(str(s)) for s in salt])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def make_chain(table: DataFrame, key: Column, editable: list[str], cfg: ChainConfig = ChainConfig(), draw: Callable[..., Column] = _draw) -> list[DataFrame]:
     """Versions of table with the hidden key in KEY: rows enter and leave, and one editable cell of some rows changes."""
     universe = table.withColumn(KEY, key.cast("string"))
     k = F.col(KEY)
     # A row enters with version 1, or with the version of its draw; it leaves with the first version that draws it.
-    late = (_draw(k, cfg.seed, "enter") - cfg.start) / cfg.inserts
-    enters = F.when(_draw(k, cfg.seed, "enter") < cfg.start, 1).otherwise(F.floor(late).cast("int") + 2)
+    late = (draw(k, cfg.seed, "enter") - cfg.start) / cfg.inserts
+    enters = F.when(draw(k, cfg.seed, "enter") < cfg.start, 1).otherwise(F.floor(late).cast("int") + 2)
     out = []
     frame = universe.withColumn("__enters", enters)
     for v in range(1, cfg.n_versions + 1):
         if v > 1:
-            frame = frame.withColumn("__gone", F.coalesce(F.col("__gone"), F.lit(False)) | ((F.col("__enters") < v) & (_draw(k, cfg.seed, v, "leave") < cfg.deletes)))
-            hit = (F.col("__enters") < v) & (_draw(k, cfg.seed, v, "edit") < cfg.edits)
+            frame = frame.withColumn("__gone", F.coalesce(F.col("__gone"), F.lit(False)) | ((F.col("__enters") < v) & (draw(k, cfg.seed, v, "leave") < cfg.deletes)))
+            hit = (F.col("__enters") < v) & (draw(k, cfg.seed, v, "edit") < cfg.edits)
             which = F.pmod(F.xxhash64(k, F.lit(cfg.seed), F.lit(v), F.lit("which")), F.lit(len(editable)))
             for n, c in enumerate(editable):
                 frame = frame.withColumn(c, F.when(hit & (which == n), perturbed(quoted(c), table.schema[c].dataType, k, cfg.seed, v)).otherwise(quoted(c)))

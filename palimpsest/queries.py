@@ -6,19 +6,22 @@ The engine commits it once for each session and folder; a query reads the reposi
 
 from __future__ import annotations
 
+import contextlib
+import io
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.evaluation import KEY, OracleIdentity, equal_multisets, identity_quality, rows_by_id
+from palimpsest.evaluation import KEY, ChainConfig, OracleIdentity, equal_multisets, identity_quality, make_chain, md5_draw, rows_by_id, truth_pairs
 from palimpsest.functions.canon import CanonConfig, content_key
 from palimpsest.functions.similarity import numeric_similarity, string_similarity
 from palimpsest.operators import diffing, matching
-from palimpsest.operators.identity import ContentMatchIdentity, compute_row_ids, key_text
+from palimpsest.operators.identity import ContentMatchIdentity, compute_row_ids, key_text, make_identity
 from palimpsest.plans.schema import RID
 from palimpsest.repository import Repository
+from palimpsest.sources.tables import read_table, write_table
 from palimpsest.sources.workspace import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +61,17 @@ KEYLESS = {
         "SELECT s_name, CASE WHEN s_suppkey % 9 = 4 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal, s_nationkey FROM supplier WHERE s_suppkey % 10 <> 7",
     ),
 }
+#: The same rows, with one cell edited in every eleventh; the name of an order says which it is.
+_LARGE = "SELECT o_orderkey, concat('order ', CAST(o_orderkey * 7919 % 1000003 AS VARCHAR(20)), ' of ', CAST(o_custkey AS VARCHAR(20))) AS o_name, o_orderstatus, {} AS o_totalprice FROM orders"
+LARGE = (_LARGE.format("o_totalprice"), _LARGE.format("CASE WHEN o_orderkey % 11 = 5 THEN o_totalprice + 0.5 ELSE o_totalprice END"))
+LARGE_COLUMNS = ["o_name", "o_orderstatus", "o_totalprice"]
+THRESHOLDS = (0.0, 0.05, 0.5, 0.9, 1.0)
+#: Pairs of texts and of rows that both engines make alike.
+NAMES = "SELECT a.c_custkey, a.c_name AS a, b.c_name AS b FROM customer a JOIN customer b ON a.c_custkey = b.c_custkey + 7"
+PAIRED = """SELECT s_suppkey, s_acctbal AS a, s_acctbal + s_suppkey % 20 * 400 AS b, s_name AS x, concat(substr(s_name, 1, 12), CAST(s_suppkey % 7 AS VARCHAR(9))) AS y,
+CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'same' END AS p, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'same' END AS q FROM supplier"""
 MATCHER = {"block_on": ["event_type", "user_id"]}
-TABLES = ("orders", "conversations", "lineitem", "events", "customer", "supplier")
+TABLES = ("orders", "conversations", "lineitem", "events", "customer", "supplier", "nation")
 
 _MADE: dict[tuple, Repository] = {}
 
@@ -250,10 +262,73 @@ def provenance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repo.explain_last().groupBy("method").agg(F.count("*").alias("n"))
 
 
+def fuzzy_large_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders without a key and without blocks, one cell edited in every eleventh row: all edited rows find their parent."""
+
+    def make() -> Repository:
+        repo = Repository.init(spark, scratch(spark, "large"), identity=ContentMatchIdentity(compare_on=LARGE_COLUMNS))
+        for sql in LARGE:
+            repo.commit(spark.sql(sql))
+        return repo
+
+    repo = _once(spark, sf_dir, "large", make)
+    # A link is right if it joins the rows of one order, whose key took no part in the comparison.
+    old, new = repo.frame(1).select(RID, F.col("o_orderkey").alias("old_key")), repo.frame(2).select(RID, "o_orderkey", "o_orderstatus")
+    right = new.join(old, RID).agg(F.count_if(F.col("old_key") == F.col("o_orderkey")).alias("right_links"), F.count_if(F.col("old_key") != F.col("o_orderkey")).alias("wrong_links"))
+    stats = {k: v for k, v in repo.log()[1]["stats"].items() if k in ("added", "deleted", "updated")}
+    return right.select("right_links", "wrong_links", *[F.lit(v).cast("long").alias(k) for k, v in stats.items()])
+
+
+def reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a repository says of itself after it is opened anew."""
+    repo = Repository.open(spark, orders(spark, sf_dir).store.root)
+    again = make_identity(repo.identity.to_config())
+    return one_row(spark, head=repo.head, versions=len(repo), key=",".join(repo.primary_key), keyless=repo.keyless, same_identity=again.to_config() == repo.identity.to_config(), rows=repo.checkout(ordered=False).count())
+
+
+def history_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every version of a synthetic history, and how many survive, enter and leave from one to the next."""
+    views(spark, sf_dir)
+    table = spark.sql("SELECT o_orderkey, o_totalprice FROM orders")
+    chain = make_chain(table, F.col("o_orderkey"), ["o_totalprice"], ChainConfig(n_versions=4), draw=md5_draw)
+    out = None
+    for v, now in enumerate(chain, 1):
+        before = chain[v - 2] if v > 1 else now.limit(0)
+        stay = truth_pairs(before, now)
+        row = now.agg(F.lit(v).alias("version"), F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("keys"))
+        row = row.crossJoin(stay.agg(F.count("*").alias("survivors"), F.coalesce(F.sum(F.col(KEY).cast("long")), F.lit(0)).alias("survivor_keys")))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV file and a Parquet file committed and checked out by the command line; the rows of both versions as they were written."""
+    from palimpsest import cli
+
+    views(spark, sf_dir)
+    where = scratch(spark, "cli")
+    write_table(spark.sql("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 5 <> 1"), f"{where}/first.csv")
+    write_table(spark.sql("SELECT n_nationkey, upper(n_name) AS n_name FROM nation"), f"{where}/second.parquet")
+    root = f"{where}/repo"
+    for command in (["init", root, "-k", "n_nationkey"], ["commit", root, f"{where}/first.csv"], ["commit", root, f"{where}/second.parquet"],
+                    ["checkout", root, "-v", "1", "-o", f"{where}/one.parquet"], ["checkout", root, "-o", f"{where}/two.csv"]):
+        with contextlib.redirect_stdout(io.StringIO()):
+            cli.run(cli.parser().parse_args(command), spark)
+    read = lambda name, v: read_table(spark, f"{where}/{name}").select(F.lit(v).alias("version"), F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+    return read("one.parquet", 1).unionByName(read("two.csv", 2))
+
+
+def row_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean cell similarity of two versions of each supplier: a number, a text, and a cell that one side may lack."""
+    views(spark, sf_dir)
+    rows = spark.sql(PAIRED)
+    return rows.select("s_suppkey", F.round((numeric_similarity(F.col("a"), F.col("b"), 5000.0, 0.05) + string_similarity("x", "y") + string_similarity("p", "q")) / 3, 9).alias("similarity"))
+
+
 def error_confinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Under every threshold the version comes back; returns its rows once for each threshold."""
     out = None
-    for threshold in (0.0, 0.5, 1.0):
+    for threshold in THRESHOLDS:
         one = keyless(spark, sf_dir, "supplier", block_on=["s_nationkey"], row_threshold=threshold).checkout(2).withColumn("threshold", F.lit(threshold))
         out = one if out is None else out.unionByName(one)
     return out
@@ -300,7 +375,7 @@ def numeric_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def string_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir)
-    pair = spark.sql("SELECT a.c_custkey, a.c_name AS a, b.c_name AS b FROM customer a JOIN customer b ON a.c_custkey = b.c_custkey + 7")
+    pair = spark.sql(NAMES)
     return pair.select("c_custkey", F.round(string_similarity("a", "b"), 9).alias("ratio"))
 
 
@@ -336,10 +411,16 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def storage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of each version's components."""
+    """Rows of each version's components, and whether all of them together take less than the copies that they stand for."""
     repo = orders(spark, sf_dir)
-    rows = [(v, c, repo.store.files.size(repo.store.version_path(v, c))) for v in repo.versions for c in repo.metadata(v)["components"]]
-    return spark.createDataFrame(rows, "version int, component string, bytes long")
+    out = None
+    for v in repo.versions:
+        for c in repo.metadata(v)["components"]:
+            one = repo.component(v, c).agg(F.lit(v).alias("version"), F.lit(c).alias("component"), F.count("*").alias("n_rows"))
+            out = one if out is None else out.unionByName(one)
+    base = repo.store.files.size(repo.store.version_path(1, "base"))
+    size = sum(repo.store.files.size(repo.store.version_path(v)) for v in repo.versions)
+    return out.withColumn("saves", F.lit(size < len(repo) * base))
 
 
 QUERIES: dict[str, Query] = {f"checkout_v{v}": partial(checkout, v) for v in VERSIONS}
@@ -379,6 +460,11 @@ QUERIES |= {
     "numeric_similarities": numeric_similarities,
     "string_ratios": string_ratios,
     "canonical_groups": canonical_groups,
+    "fuzzy_large_block": fuzzy_large_block,
+    "reopened": reopened,
+    "history_sizes": history_sizes,
+    "command_line": command_line,
+    "row_similarities": row_similarities,
     "identity_scores": identity_scores,
     "round_trip": round_trip,
     "storage_report": storage_report,
@@ -416,6 +502,41 @@ def _log_sql() -> str:
     )
 
 
+def _ratio_sql(pairs: str, key: str, a: str, b: str, out: str) -> str:
+    """2 * LCS / (length + length) of two text columns, the table of the LCS filled row by row."""
+    return f"""WITH RECURSIVE p AS (SELECT {key}, {a} AS a, {b} AS b FROM ({pairs}) s),
+    t AS (SELECT {key}, a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: 0) AS line FROM p
+        UNION ALL SELECT {key}, a, b, i + 1, list_reduce(range(1, length(b) + 1),
+            lambda done, j: list_append(done, CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN line[j] + 1 ELSE greatest(line[j + 1], done[len(done)]) END), [0])
+        FROM t WHERE i < length(a))
+    SELECT {key}, {out.replace("ratio", "(2.0 * line[length(b) + 1] / (length(a) + length(b)))", 1) if out != "ratio" else "2.0 * line[length(b) + 1] / (length(a) + length(b)) AS ratio"} FROM t WHERE i = length(a)"""
+
+
+def _history_sql(n: int) -> str:
+    """The rows of a synthetic history by the same draws: md5 of key and salt, which both engines have."""
+    draw = lambda *salt: "CAST(CAST('0x' || substr(md5(concat_ws('|', k, " + ", ".join(f"'{s}'" for s in salt) + ")), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
+    cfg = ChainConfig()
+    enters = f"CASE WHEN {draw(cfg.seed, 'enter')} < {cfg.start} THEN 1 ELSE CAST(floor(({draw(cfg.seed, 'enter')} - {cfg.start}) / {cfg.inserts}) AS INT) + 2 END"
+    gone = lambda v: " OR ".join([f"(enters < {w} AND {draw(cfg.seed, w, 'leave')} < {cfg.deletes})" for w in range(2, v + 1)] or ["false"])
+    universe = f"(SELECT *, {enters} AS enters FROM (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k FROM orders) o)"
+    there = lambda v: f"enters <= {v} AND NOT ({gone(v)})"
+    rows = []
+    for v in range(1, n + 1):
+        stay = f"({there(v)}) AND ({there(v - 1)})" if v > 1 else "false"
+        total = lambda what, c: f"CAST(coalesce(sum(CASE WHEN {c} THEN {what} ELSE 0 END), 0) AS BIGINT)"
+        rows.append(f"SELECT CAST({v} AS INT) AS version, {total('1', there(v))} AS n_rows, {total('o_orderkey', there(v))} AS keys, {total('1', stay)} AS survivors, {total('o_orderkey', stay)} AS survivor_keys FROM {universe} u")
+    return " UNION ALL ".join(rows)
+
+
+def _storage_sql() -> str:
+    n = {"added": "added", "deleted": "deleted", "updated": "updated"}
+    one = lambda v, name, what: f"SELECT CAST({v} AS INT) AS version, '{name}' AS component, {what} AS n_rows, true AS saves FROM ({_log_sql()}) l WHERE version = {v}"
+    cells = f"(SELECT count(*) FROM ({_CELLS}) c)"
+    weights = "(SELECT count(*) FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderkey % 7 <> 0)"
+    parts = [(1, "base", n["added"]), (2, "inserts", n["added"]), (3, "deletes", n["deleted"]), (4, "updates", n["updated"]), (4, "cells", cells), (5, "columns", weights), (8, "deletes", n["deleted"])]
+    return " UNION ALL ".join(one(*p) for p in parts)
+
+
 ORACLE_SQL = {f"checkout_v{v}": sql for v, sql in VERSIONS.items()}
 ORACLE_SQL |= {
     "checkout_head": VERSIONS[HEAD],
@@ -434,8 +555,10 @@ ORACLE_SQL |= {
         (SELECT count(*) FROM {_V(1)} a JOIN {_V(8)} b ON a.o_orderkey = b.o_orderkey
          WHERE a.o_orderstatus IS DISTINCT FROM b.o_orderstatus OR a.o_totalprice IS DISTINCT FROM b.o_totalprice) AS rows_updated,
         'weight' AS columns_added, 'o_orderpriority' AS columns_removed""",
-    "column_diff": "SELECT 'weight' AS \"column\", 'added' AS change UNION ALL SELECT 'o_orderpriority', 'removed'",
-    "type_changes": "SELECT 'weight' AS \"column\", 'bigint' AS old_type, 'int' AS new_type",
+    "column_diff": f"""SELECT column_name AS "column", 'added' AS change FROM (DESCRIBE {VERSIONS[6]}) WHERE column_name NOT IN (SELECT column_name FROM (DESCRIBE {VERSIONS[4]}))
+        UNION ALL SELECT column_name, 'removed' FROM (DESCRIBE {VERSIONS[4]}) WHERE column_name NOT IN (SELECT column_name FROM (DESCRIBE {VERSIONS[6]}))""",
+    "type_changes": f"""SELECT a.column_name AS "column", lower(a.column_type) AS old_type, replace(lower(b.column_type), 'integer', 'int') AS new_type
+        FROM (DESCRIBE {VERSIONS[6]}) a JOIN (DESCRIBE {VERSIONS[7]}) b USING (column_name) WHERE a.column_type <> b.column_type""",
     "log_stats": _log_sql(),
     "component_inserts": f"SELECT {_COLS}, o_orderpriority FROM orders WHERE o_orderkey % 10 = 9",
     "component_deletes": "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0",
@@ -456,9 +579,22 @@ ORACLE_SQL |= {
         (SELECT count(*) FROM ({KEYLESS["lineitem"][0]}) v) - (SELECT CAST(sum(n) AS BIGINT) FROM {_COMMON} c) AS deleted, CAST(0 AS BIGINT) AS updated, {_ZERO}""",
     "fuzzy_stats": f"SELECT CAST(0 AS BIGINT) AS added, gone AS deleted, edited AS updated, {_ZERO} FROM ({_SUPPLIERS}) s",
     "provenance_counts": f"SELECT 'exact' AS method, n - gone - edited AS n FROM ({_SUPPLIERS}) s UNION ALL SELECT 'fuzzy', edited FROM ({_SUPPLIERS}) s WHERE edited > 0",
-    "error_confinement": f"SELECT v.*, CAST(t.threshold AS DOUBLE) AS threshold FROM ({KEYLESS['supplier'][1]}) v, (VALUES (0.0), (0.5), (1.0)) t(threshold)",
+    "error_confinement": f"SELECT v.*, CAST(t.threshold AS DOUBLE) AS threshold FROM ({KEYLESS['supplier'][1]}) v, (VALUES {', '.join(f'({t})' for t in THRESHOLDS)}) t(threshold)",
+    "fuzzy_large_block": """SELECT count(*) AS right_links, CAST(0 AS BIGINT) AS wrong_links, CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS deleted,
+        CAST(sum(CASE WHEN o_orderkey % 11 = 5 THEN 1 ELSE 0 END) AS BIGINT) AS updated FROM orders""",
+    "reopened": f"SELECT CAST({HEAD} AS BIGINT) AS head, CAST({HEAD} AS BIGINT) AS versions, 'o_orderkey' AS \"key\", false AS keyless, true AS same_identity, count(*) AS \"rows\" FROM ({VERSIONS[HEAD]}) v",
+    "history_sizes": _history_sql(4),
+    "command_line": "SELECT CAST(1 AS INT) AS version, CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation WHERE n_nationkey % 5 <> 1 UNION ALL SELECT 2, CAST(n_nationkey AS BIGINT), upper(n_name) FROM nation",
+    "string_ratios": _ratio_sql(NAMES, "c_custkey", "a", "b", "round(ratio, 9) AS ratio"),
+    "row_similarities": f"""SELECT s_suppkey, round((CASE WHEN abs(a - b) <= 250 THEN 1.0 ELSE greatest(0.0, 1 - abs(a - b) / 5000) END + ratio
+        + CASE WHEN p IS NULL AND q IS NULL THEN 1.0 WHEN p IS NULL OR q IS NULL THEN 0.0 ELSE 1.0 END) / 3, 9) AS similarity
+        FROM ({PAIRED}) v JOIN ({_ratio_sql(PAIRED, "s_suppkey", "x", "y", "ratio")}) r USING (s_suppkey)""",
+    "storage_report": _storage_sql(),
     "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
-    "rejected_keys": "SELECT * FROM (VALUES ('repeated', 'ValueError'), ('null', 'ValueError'), ('missing', 'KeyError'), ('fine', 'accepted')) t(input, outcome)",
+    "rejected_keys": """SELECT 'repeated' AS input, CASE WHEN max(n) > 1 THEN 'ValueError' ELSE 'accepted' END AS outcome FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber) g
+        UNION ALL SELECT 'null', CASE WHEN count(*) > count(nullif(o_orderkey, 5)) THEN 'ValueError' ELSE 'accepted' END FROM orders
+        UNION ALL SELECT 'missing', CASE WHEN count(*) = 0 THEN 'KeyError' ELSE 'accepted' END FROM (DESCRIBE SELECT * FROM orders) WHERE column_name = 'nothing'
+        UNION ALL SELECT 'fine', CASE WHEN max(n) > 1 THEN 'ValueError' ELSE 'accepted' END FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey) g""",
     "column_scales": " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", round(stddev_samp({c}), 6) AS scale FROM ({KEYLESS['lineitem'][0]} UNION ALL {KEYLESS['lineitem'][1]}) v" for c in ("l_quantity", "l_discount", "l_tax")
     ),
@@ -466,6 +602,10 @@ ORACLE_SQL |= {
         WHEN abs(a - b) <= 2500 THEN 1.0 ELSE greatest(0.0, 1 - abs(a - b) / 50000) END, 9) AS similarity
         FROM (SELECT o_orderkey, nullif(o_totalprice, o_totalprice * (o_orderkey % 11)) AS a, nullif(o_totalprice + o_orderkey % 100 * 700, o_totalprice) AS b FROM orders) p""",
     "canonical_groups": "SELECT l_returnflag AS flag, round(l_tax, 6) AS tax, count(*) AS n FROM lineitem GROUP BY l_returnflag, round(l_tax, 6)",
-    "identity_scores": "SELECT CAST(1 AS DOUBLE) AS precision, CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS f1, CAST(1 AS DOUBLE) AS recall_edited",
-    "round_trip": "SELECT CAST(v AS INT) AS version, true AS equal FROM range(1, 9) t(v)",
+    "identity_scores": f"""SELECT hit / n AS precision, hit / n AS recall, 2.0 * (hit / n) * (hit / n) / (hit / n + hit / n) AS f1, hit_edited / edited AS recall_edited FROM (
+        SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN b.o_orderkey = a.o_orderkey THEN 1 ELSE 0 END) AS DOUBLE) AS hit,
+        CAST(sum(CASE WHEN a.o_totalprice IS DISTINCT FROM b.o_totalprice OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus THEN 1 ELSE 0 END) AS DOUBLE) AS edited,
+        CAST(sum(CASE WHEN (a.o_totalprice IS DISTINCT FROM b.o_totalprice OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus) AND b.o_orderkey = a.o_orderkey THEN 1 ELSE 0 END) AS DOUBLE) AS hit_edited
+        FROM {_V(3)} a JOIN {_V(4)} b ON a.o_orderkey = b.o_orderkey) s""",
+    "round_trip": " UNION ALL ".join(f"SELECT CAST({v} AS INT) AS version, count(*) = count(DISTINCT o_orderkey) AS equal FROM {_V(v)} v" for v in VERSIONS),
 }
