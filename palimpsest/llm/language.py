@@ -34,6 +34,8 @@ PER_LABEL = 400
 PIECE = 600
 MAX_LABELS = 1024
 UNKNOWN = "und"
+REJECT = "(noise)"
+NOISE = 400
 HELD_OUT = 2
 _WORD = re.compile(r"[^\W\d_]+")
 _IS_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
@@ -124,11 +126,29 @@ def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndar
     return windows, owner, _IS_LETTER[windows[:, :WINDOW]].sum(axis=1)
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 6, seed: int = 7) -> Network | None:
-    """Fit a network on labelled pieces of text; None if there are none."""
-    names = sorted(set(labels))
-    if not names:
+def noise(texts: list[str], n: int = NOISE, seed: int = 7) -> list[str]:
+    """n pieces that are in no language: half are words of random letters of the texts, half texts with their characters shuffled."""
+    rng = np.random.default_rng(seed)
+    letters = sorted({c for t in texts for c in t if c.isalpha()}) or ["a"]
+    out = []
+    for k in range(n):
+        if k % 2 or not texts:
+            sizes = rng.integers(2, 11, size=100)
+            some = letters if k % 4 == 1 else [c for c in letters if c.isascii()] or letters
+            out.append(" ".join("".join(rng.choice(some, size=s)) for s in sizes))
+        else:
+            out.append("".join(rng.permutation(list(texts[int(rng.integers(len(texts)))]))))
+    return out
+
+
+def train(texts: list[str], labels: list[str], epochs: int = 6, seed: int = 7, reject: bool = False) -> Network | None:
+    """Fit a network on labelled pieces of text; None if there are none. With reject, one more label, REJECT, stands for noise."""
+    if not labels:
         return None
+    if reject:
+        made = noise(texts, seed=seed)
+        texts, labels = [*texts, *made], [*labels, *[REJECT] * len(made)]
+    names = sorted(set(labels))
     net, rng = Network(names, seed), np.random.default_rng(seed)
     index = {name: k for k, name in enumerate(names)}
     windows, target = [], []
@@ -236,6 +256,6 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFra
     return docs.mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Train on the labelled rows outside the held-out fold and predict every row."""
-    return predict(docs, train(*sample(docs, doc_id, text, lang)), text)
+def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", reject: bool = False) -> DataFrame:
+    """Train on the labelled rows outside the held-out fold and predict every row; with reject, REJECT is a prediction too."""
+    return predict(docs, train(*sample(docs, doc_id, text, lang), reject=reject), text)

@@ -42,11 +42,11 @@ def test_stages_equal_a_plain_version(spark):
     assert {r.doc_id for r in ruled.collect()} == {r.doc_id for r in docs.collect() if brute_quality(r.text)["kept"]}
 
     spoken = steps["language_id"](spark, ruled, SF).cache()
-    net = language.train(*language.sample(ruled))
+    net = language.train(*language.sample(ruled), reject=True)
     want = set()
     for r in ruled.collect():
         names, score = language.predict_batch(net, __import__("pyarrow").array([r.text]))
-        if names[0] != "und" and score[0] >= pipeline.LEAST_SCORE:
+        if names[0] != "und" and not (names[0] == language.REJECT and score[0] >= pipeline.SURE):
             want.add(r.doc_id)
     assert {r.doc_id for r in spoken.collect()} == want
 
@@ -78,6 +78,20 @@ def test_clean_documents_pass_the_filters(spark):
     assert spoken.count() >= 0.995 * ruled.count()
 
 
+def test_noise_and_unlearned_scripts_go(spark):
+    import random
+
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    letters = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10))) for _ in range(100)) for _ in range(20)]
+    other = ["Мой дядя самых честных правил когда не в шутку занемог он уважать себя заставил и лучше выдумать не мог. " * 4]
+    bad = spark.createDataFrame([(10_000_000 + k, t, None, "s1", len(t)) for k, t in enumerate([*letters, *other, "123 ½ ²"])], docs.schema)
+    got = {r.doc_id for r in pipeline.language_id(spark, docs.unionByName(bad), SF).select("doc_id").collect()}
+    assert not [d for d in got if d >= 10_000_000] and len(got) >= 0.997 * docs.select("doc_id").distinct().count()
+    unlabelled = bad.withColumn("lang", F.lit(None).cast("string"))
+    assert pipeline.language_id(spark, unlabelled, SF).count() == 21
+
+
 def test_odd_documents(spark):
     rows = [(None, None, None, None, None), (1, "", None, None, 0), (2, "x " * 60000, "en", "src1", 1), (3, "the of and " * 12, None, None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
