@@ -3,7 +3,7 @@ from palimpsest.llm import language, pieces, separators, simhash
 from pyspark.sql import functions as F
 from test_mixing import plain_budgets
 from test_quality import brute as brute_quality
-from test_simhash import brute_components, brute_signature, brute_wide
+from test_simhash import brute_similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,8 +51,7 @@ def test_stages_equal_a_plain_version(spark):
     assert {r.doc_id for r in spoken.collect()} == want
 
     alone = steps["near_duplicates"](spark, spoken, SF).cache()
-    radius = simhash.wide_radius(0.8)
-    heads = {c for _, c in brute_components([(r.doc_id, brute_signature(r.text, 5)) for r in spoken.collect()], lambda a, b: brute_wide(a, b, radius))}
+    heads = {c for _, c in brute_similar([(r.doc_id, r.text) for r in spoken.collect()])}
     assert sorted(r.doc_id for r in alone.collect()) == sorted(heads)
 
     mixed = steps["source_mixture"](spark, alone, SF).cache()

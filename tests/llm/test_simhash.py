@@ -39,6 +39,20 @@ def brute_wide(a, b, radius):
     return x.bit_count() <= radius and any(all(not x >> (n - 1 - int(p)) & 1 for p in band) for band in simhash.wide_bands())
 
 
+def brute_grams(text, shingle=5):
+    words = (text or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
+    return frozenset(tuple(words[i : i + shingle]) for i in range(max(len(words) - shingle + 1, 1 if words else 0)))
+
+
+def brute_similar(rows, similarity=0.8):
+    """[(doc_id, component)]: exact Jaccard similarity of every two texts whose signatures are joined by candidates."""
+    radius = simhash.wide_radius(similarity)
+    signature = {t: brute_signature(t, 5) for _, t in rows}
+    loose = dict(brute_components([(s, s) for s in set(signature.values())], lambda a, b: brute_wide(a, b, radius)))
+    known = [(d, (loose[signature[t]], signature[t], brute_grams(t))) for d, t in rows]
+    return brute_components(known, lambda a, b: a[0] == b[0] and (a[1] == b[1] or len(a[2] & b[2]) >= similarity * len(a[2] | b[2]) - 1e-9))
+
+
 def brute_components(pairs, linked=lambda a, b: bin(a ^ b).count("1") <= 3):
     """pairs: (doc_id, fp); [(doc_id, component)]."""
     ids = {}
@@ -162,29 +176,44 @@ def test_similar_texts_are_linked(spark, monkeypatch):
     texts += [edited(rng, big, 0.008) for _ in range(90)] + [[word() for _ in range(120)] for _ in range(100)] + [[], [], ["a", "b"], ["a", "b"]]
     rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(900, None), (None, "x y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 k1", "2 sig", "3 cut").repartition(3)
-    radius = simhash.wide_radius(0.8)
-    assert 39 <= radius <= 50
-    prints = [(d if d is not None else float("inf"), brute_signature(t, 5)) for d, t in rows]
-    assert all(int.from_bytes(simhash.signature(t, 5), "big") == f for (_, t), (_, f) in zip(rows, prints, strict=True))
-    want = [(d if d != float("inf") else None, c if c != float("inf") else None) for d, c in brute_components(prints, lambda a, b: brute_wide(a, b, radius))]
-    for run, block in ((2048, 1024), (20, 8)):
+    assert 50 <= simhash.wide_radius(0.8) <= 56
+    assert all(int.from_bytes(simhash.signature(np.unique(simhash.shingle_hashes(t, 5))), "big") == brute_signature(t, 5) for _, t in rows)
+    known = brute_similar([(d if d is not None else float("inf"), t) for d, t in rows])
+    want = [(d if d != float("inf") else None, c if c != float("inf") else None) for d, c in known]
+    for run, block, size in ((2048, 1024, 1 << 22), (20, 8, 1 << 22), (2048, 1024, 20_000)):
         monkeypatch.setattr(simhash, "MAX_RUN", run)
         monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "SET_BYTES", size)
         got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs, shingle=5, similarity=0.8).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     group = dict(want)
     near = [(a, b) for a in range(len(texts)) for b in range(a) if len(texts[a]) > 5 < len(texts[b]) and jaccard(texts[a], texts[b]) >= 0.8]
-    assert len(near) > 1000 and np.mean([group[a] == group[b] for a, b in near]) > 0.95
+    assert len(near) > 1000 and np.mean([group[a] == group[b] for a, b in near]) > 0.98
+    exact = dict(brute_components([(k, brute_grams(t)) for k, t in rows[:-2]], lambda a, b: len(a & b) >= 0.8 * len(a | b) > 0))
+    assert all(exact[a] == exact[b] for a in range(310) for b in range(a) if group[a] == group[b])
     assert len({group[k] for k in range(210, 310)}) == 100
     kept = simhash.keep_first(docs, shingle=5, similarity=0.8)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for _, c in want if c is not None})
 
 
+def test_sets_of_hashes_are_compared_exactly(monkeypatch):
+    rng = random.Random(8)
+    pool = [rng.getrandbits(64) for _ in range(60)]
+    sets = [np.array(sorted(rng.sample(pool, rng.randint(40, 60))), dtype=np.uint64) for _ in range(50)]
+    sets += [np.zeros(0, dtype=np.uint64), np.array(pool[:1], dtype=np.uint64)]
+    cut = np.array([rng.randrange(2) for _ in sets])
+    for postings in (1 << 21, 100):
+        monkeypatch.setattr(simhash, "POSTINGS", postings)
+        for parts in (None, cut):
+            alike = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b])) > 0 and (parts is None or parts[a] != parts[b])  # noqa: E731, B023
+            want = dict(brute_components([(k, k) for k in range(len(sets))], alike))
+            assert simhash.similar(sets, 0.8, parts).tolist() == [want[k] for k in range(len(sets))]
+
+
 def test_settings_that_do_not_go_together(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
-    for bad in (lambda: simhash.near_duplicates(docs, shingle=5), lambda: simhash.components(simhash.fingerprints(docs), 5)):
-        try:
-            bad()
-        except ValueError:
-            continue
-        raise AssertionError
+    try:
+        simhash.near_duplicates(docs, shingle=5)
+    except ValueError:
+        return
+    raise AssertionError
