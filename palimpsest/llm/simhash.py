@@ -53,6 +53,8 @@ WIDE_BANDS, WIDE_BITS = 80, 20
 SLACK = 2.5
 #: Bytes of shingle sets in a block, and postings looked up at once.
 SET_BYTES, POSTINGS = 1 << 22, 1 << 21
+#: Bits of the sketch of candidates, and of one row of it: 4 MB, whatever the input.
+SKETCH_BITS, SKETCH_ROW = 1 << 25, 1 << 15
 MAX_ROUNDS = 40
 
 #: Each byte value as eight counters of one byte, most significant bit first in memory.
@@ -343,11 +345,25 @@ def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
     return plain.unionByName(_linked(within, keys, radius=radius)).unionByName(_linked(across, keys, True, radius))
 
 
+def _sketched(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows whose fp may be one of members (column node): all that are, and few others as long as members are few.
+
+    The bitmap of fixed size spares the other rows the shuffle of the join to come; a full one would let all rows pass.
+    """
+    bit = F.pmod(F.col("node"), F.lit(SKETCH_BITS))
+    bitmap = members.groupBy(F.floor(bit / SKETCH_ROW).alias("part")).agg(F.bitmap_construct_agg(bit % SKETCH_ROW).alias("bits"))
+    bitmap = F.broadcast(stage(bitmap.coalesce(1), "simhash-sketch"))
+    mine = F.pmod(F.col("fp"), F.lit(SKETCH_BITS))
+    octet = F.conv(F.hex(F.substring(F.col("bits"), (mine % SKETCH_ROW / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(octet, (mine % 8).cast("int")) == 1
+    return rows.join(bitmap, (F.floor(mine / SKETCH_ROW) == F.col("part")) & hit, "left_semi")
+
+
 def confirmed(prints: DataFrame, candidates: DataFrame, similarity: float) -> DataFrame:
     """(u, v) edges whose components are those of all pairs of the similarity or more inside a component of candidates (u, v)."""
     tied = stage(label(candidates), "simhash-candidates")
     member = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
-    rows = prints.select(F.col("fp").alias("node"), "grams").join(member, "node")
+    rows = _sketched(prints.select("fp", "grams"), member).withColumnRenamed("fp", "node").join(member, "node")
     rows = stage(rows.groupBy(F.col("node").alias("fp")).agg(F.first("root").alias("root"), F.first("grams").alias("grams")), "simhash-sets")
     sizes = rows.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("grams")).alias("size"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / SET_BYTES)).cast("int")
@@ -435,7 +451,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if shingle != SHINGLE:
             raise ValueError(f"fingerprints are made of {SHINGLE} words; give a similarity for others")
         return components(stage(fingerprints(docs, doc_id, text), "simhash-prints"))
-    return components(stage(signatures(docs, shingle, doc_id, text), "simhash-prints"), similarity)
+    prints, path = stage_at(signatures(docs, shingle, doc_id, text), "simhash-prints")
+    out = stage(components(prints, similarity), "simhash-components")
+    discard(docs.sparkSession, path)  # the shingle sets are as large as the texts
+    return out
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
