@@ -4,15 +4,16 @@ First an exact multiset join on canonical content: the k-th of equal new rows me
 A sketch finds contents so frequent that they would crowd a task; their numbers are given in salted groups, whose sizes
 are summed first. What is left is compared inside blocks: cells are scored by kind, a row by their mean, and pairs
 are taken best first, one to one, from the threshold upwards; a hash of the pair decides between equal scores. A block of
-any size is compared in full: a large one is cut into tiles of bounded size, every row keeps its best candidates, and rows
-that are each other's best are linked round by round, which gives the same links as one sorted list of all pairs would.
+any size is compared in full: the rows of a large one that differ in numbers alone are linked first, as no other pair can
+score higher; the rest is cut into tiles of bounded size, every row keeps its best candidates, and rows that are each
+other's best are linked round by round. That gives the same links as one sorted list of all pairs would.
 A wrong pair costs storage, never a wrong version.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -35,7 +36,6 @@ PAIRS = 1 << 20
 #: A content of fewer rows is never hot; items that the sketch of frequent contents tracks.
 HOT_ROWS = 50_000
 SKETCH = 16_384
-NULL_TEXT = "\x00"
 MATCH_SCHEMA = f"{ORD} long, {RID} string, method string, confidence double"
 Keep = Callable[[DataFrame], DataFrame]
 
@@ -113,8 +113,15 @@ def column_scales(new: DataFrame, parent: DataFrame, columns: list[str]) -> dict
 
 
 def cell_arrays(df: pd.DataFrame, kinds: list[float | None]) -> list[np.ndarray]:
-    """Columns c0, c1, ... as arrays: numbers with NaN for null, text with the null token."""
-    return [df[f"c{k}"].to_numpy(dtype=float) if s is not None else df[f"c{k}"].fillna(NULL_TEXT).to_numpy(dtype=object) for k, s in enumerate(kinds)]
+    """Columns c0, c1, ... as arrays: numbers with NaN for null, text with None."""
+    text = lambda c: c.astype(object).where(c.notna(), None).to_numpy(dtype=object)
+    return [df[f"c{k}"].to_numpy(dtype=float) if s is not None else text(df[f"c{k}"]) for k, s in enumerate(kinds)]
+
+
+def coded(values: np.ndarray) -> tuple[np.ndarray, list[str | None]]:
+    """A code for each text and the texts by code. pandas' own codes end a text at its first NUL."""
+    codes: dict[str | None, int] = {}
+    return np.fromiter((codes.setdefault(v, len(codes)) for v in values), dtype=np.int64, count=len(values)), list(codes)
 
 
 def pair_similarities(new: list[np.ndarray], old: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, kinds: list[float | None], cfg: SimConfig) -> np.ndarray:
@@ -134,15 +141,16 @@ def pair_similarities(new: list[np.ndarray], old: list[np.ndarray], rows: np.nda
             none_a, none_b = np.isnan(x), np.isnan(y)
             parts.append(np.where(none_a & none_b, 1.0, np.where(none_a | none_b, 0.0, np.nan_to_num(sim))))
             continue
-        code, texts = pd.factorize(np.concatenate([a, b]))
+        code, texts = coded(np.concatenate([a, b]))
         x, y = code[: len(a)][rows], code[len(a) :][cols]
         parts.append((x == y).astype(float))
         if cfg.string_soft:
-            soft.append((k, x, y, list(texts)))
+            soft.append((k, x, y, texts))
     open_ = {k for k, *_ in soft}  # texts not yet compared, which may still give 1
-    for k, x, y, texts in sorted(soft, key=lambda s: max(map(len, s[3]), default=0)):
+    for k, x, y, texts in sorted(soft, key=lambda s: max((len(t or "") for t in s[3]), default=0)):
         open_.discard(k)
-        null = texts.index(NULL_TEXT) if NULL_TEXT in texts else -1
+        null = texts.index(None) if None in texts else -1
+        texts = [t or "" for t in texts]
         at = np.flatnonzero((x != y) & (x != null) & (y != null))
         which, back = np.unique(x[at] * len(texts) + y[at], return_inverse=True)
         need = None
@@ -332,27 +340,72 @@ def settle(found: DataFrame, keep: Keep) -> tuple[list[DataFrame], DataFrame | N
     return links, again[0], again[1]
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, kinds: list[float | None], sim: SimConfig, max_pairs: int, keep: Keep) -> DataFrame | None:
-    """(__ord__, __rid__, confidence) of similar rows inside blocks, best first, one to one; None if no block has both sides.
+def alike(df: DataFrame, texts: list[int]) -> DataFrame:
+    """Cells whose blocks are parted further by all their texts, of which null is one."""
+    parts = [x for k in texts for x in (F.col(f"c{k}"), F.isnull(f"c{k}"))]
+    return df.withColumns({"ba": F.xxhash64(F.lit(1), "ba", "bb", *parts), "bb": F.xxhash64(F.lit(2), "ba", "bb", *parts)})
+
 
-    left, right: stored frames of `cells`. Every pair of a block is compared whatever the block's size; max_pairs is the
-    size of a tile.
+def sure_score(left: DataFrame, right: DataFrame, kinds: list[float | None], texts: list[int], sim: SimConfig) -> float:
+    """A score that no pair reaches unless all its texts are equal.
+
+    Unequal texts of m characters at most have a ratio of 1 - 1 / (2 m - 1) at most, or 0 where texts are compared for
+    equality alone. The doubled room leaves that bound clear of rounding.
     """
+    room = 1.0
+    if sim.string_soft:
+        most = F.greatest(*[F.max(F.octet_length(f"c{k}")) for k in texts], F.lit(1))
+        room = 1.0 / (2 * max(df.agg(most.alias("m")).first()["m"] for df in (left, right)))
+    return 1.0 - room / (2 * len(kinds))
+
+
+def block_pairs(left: DataFrame, right: DataFrame, plan: DataFrame, kinds: list[float | None], sim: SimConfig, max_pairs: int, keep: Keep) -> list[DataFrame]:
+    """Frames of (__ord__, __rid__, score) with the links inside blocks. plan: the stored `tile_plan` of both sides."""
     links: list[DataFrame] = []
     while True:
-        plan = keep(tile_plan(left, right, max_pairs))
         size = plan.agg(F.sum(F.col("n") * F.col("tb") + F.col("m") * F.col("ta")).alias("rows"), F.max(F.col("ta") * F.col("tb")).alias("tiles")).first()
         if size["rows"] is None:
-            break
+            return links
         found = keep(score_tiles(left, right, plan, kinds, sim, 8 + size["rows"] // BIN_ROWS))
         links.append(found.filter(F.col("kind") == LINK).select(ORD, RID, "score"))
         if size["tiles"] == 1:
-            break
+            return links
         more, again_left, again_right = settle(found, keep)
         links += more
         if again_left is None or again_right is None:
-            break
+            return links
         left, right = keep(left.join(again_left, ORD, "left_semi")), keep(right.join(again_right, RID, "left_semi"))
+        plan = keep(tile_plan(left, right, max_pairs))
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, kinds: list[float | None], sim: SimConfig, max_pairs: int, keep: Keep) -> DataFrame | None:
+    """(__ord__, __rid__, confidence) of similar rows inside blocks, best first, one to one; None if no block has both sides.
+
+    left, right: stored frames of `cells`. Every pair that could be a link is compared whatever the block's size; max_pairs
+    is the size of a tile. The best scores need equal texts, so large blocks are first parted by their texts and linked
+    from such a score upwards, which is how one sorted list would begin; what is left is then compared with all the rest.
+    """
+    count = lambda plan: plan.agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0]
+    links: list[DataFrame] = []
+    plan = keep(tile_plan(left, right, max_pairs))
+    pairs = count(plan)
+    if pairs is None:
+        return None
+    texts = [k for k, scale in enumerate(kinds) if scale is None]
+    if texts and pairs > max_pairs:
+        parted = [alike(df, texts) for df in (left, right)]
+        fine = keep(tile_plan(*parted, max_pairs))
+        if (count(fine) or 0) <= pairs / 4:  # else it saves little
+            sure = sure_score(left, right, kinds, texts, sim)
+            links = block_pairs(*parted, fine, kinds, replace(sim, row_threshold=max(sure, sim.row_threshold)), max_pairs, keep)
+            if sim.row_threshold >= sure:
+                plan = None
+            elif links:
+                done = reduce(DataFrame.unionByName, links)
+                left, right = keep(left.join(done.select(ORD), ORD, "left_anti")), keep(right.join(done.select(RID), RID, "left_anti"))
+                plan = keep(tile_plan(left, right, max_pairs))
+    if plan is not None:
+        links += block_pairs(left, right, plan, kinds, sim, max_pairs, keep)
     return reduce(DataFrame.unionByName, links).withColumnRenamed("score", "confidence") if links else None
 
 

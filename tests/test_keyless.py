@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from palimpsest import ContentMatchIdentity, Repository
@@ -187,6 +188,52 @@ def test_tiles_equal_one_sorted_list(spark, few_tasks, threshold, edits):
         assert got == want, size
 
 
+def test_edited_numbers_of_a_large_block_cost_no_square(spark, few_tasks, monkeypatch):
+    """Rows that keep their texts are not compared with all others; rows that do not still find their parents."""
+    compared, plain = [], matching.score_tiles
+    monkeypatch.setattr(matching, "score_tiles", lambda left, right, plan, *a: compared.append(plan.selectExpr("sum(n * m)").first()[0]) or plain(left, right, plan, *a))
+    keep = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    old = spark.range(3000).selectExpr(f"concat('p', id) {RID}", "concat('order ', id * 7919 % 10007) n", "substr('abc', 1 + id % 3, 1) s", "cast(id * 37 % 1000 as double) x")
+    new = spark.range(2990).selectExpr(f"id {matching.ORD}", "concat('order ', id * 7919 % 10007, if(id % 100 = 7, '!', '')) n", "substr('abc', 1 + id % 3, 1) s", "cast(id * 37 % 1000 as double) + 0.5 x")
+    columns, scales = ["n", "s", "x"], {"x": 300.0}
+    left, right = (keep(matching.cells(df, c, columns, [], scales, matching.CanonConfig())) for df, c in ((new, matching.ORD), (old, RID)))
+    got = matching.fuzzy_pairs(left, right, [None, None, 300.0], matching.SimConfig(), 100_000, keep).collect()
+    assert len(got) == 2990 and all(r[RID] == f"p{r[matching.ORD]}" for r in got)
+    assert sorted(compared) == [30 * 40, 2960]
+
+
+@pytest.mark.parametrize("threshold,soft", [(0.3, True), (0.6, False), (0.9, False), (0.99, True), (1.0, True)])
+def test_links_of_equal_texts_come_first_as_in_one_sorted_list(spark, few_tasks, threshold, soft):
+    """Repeated, missing and empty texts, texts with a NUL, numbers within and beyond the tolerance."""
+    rng = random.Random(5)
+    text = lambda k: rng.choice([None, "", "\x00", *[f"t{k % 7}{c}" for c in "abcdef"]])
+    old = [(f"p{k}", text(k), text(k + 3), float(rng.randrange(40)), rng.choice("xy")) for k in range(150)]
+    new = [(k, t, u if k % 4 else text(k), x + rng.choice([0, 0.3, 2.0]), b) for k, (_, t, u, x, b) in enumerate(rng.sample(old, 110))]
+    new += [(200 + k, None, "\x00", None, "x") for k in range(10)]
+    keep = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    sim, kinds, columns, scales = matching.SimConfig(threshold, string_soft=soft), [None, None, 9.0], ["t", "u", "x"], {"x": 9.0}
+    schema = "t string, u string, x double, b string"
+    left = keep(matching.cells(spark.createDataFrame(new, f"{matching.ORD} long, {schema}"), matching.ORD, columns, ["b"], scales, matching.CanonConfig()))
+    right = keep(matching.cells(spark.createDataFrame(old, f"{RID} string, {schema}"), RID, columns, ["b"], scales, matching.CanonConfig()))
+    want = set()
+    a, b = left.toPandas(), right.toPandas()
+    for block in set(a.ba):
+        x, y = a[a.ba == block].reset_index(drop=True), b[b.ba == block].reset_index(drop=True)
+        for r, c, s in plain_links([x.h.to_numpy(), *matching.cell_arrays(x, kinds)], [y.h.to_numpy(), *matching.cell_arrays(y, kinds)], kinds, sim):
+            want.add((int(x[matching.ORD][r]), y[RID][c], s))
+    assert want
+    for size in (40, 1_000, 2_000_000):
+        got = {tuple(r) for r in matching.fuzzy_pairs(left, right, kinds, sim, size, keep).collect()}
+        assert got == want, size
+
+
+@pytest.mark.parametrize("soft", [True, False])
+def test_missing_empty_and_nul_texts_are_apart(soft):
+    a, b = matching.cell_arrays(pd.DataFrame({"c0": ["", None, "a", "\x00"]}), [None]), matching.cell_arrays(pd.DataFrame({"c0": ["", None, "a\x00b", "\x00"]}), [None])
+    got = matching.similarity_matrix(a, b, [None], matching.SimConfig(0.0, string_soft=soft))
+    assert got.tolist() == [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 0.5 * soft, 0], [0, 0, 0.5 * soft, 1]]
+
+
 def test_vectorised_ratios(monkeypatch):
     rng = random.Random(3)
     word = lambda n: "".join(rng.choices("abcé ", k=rng.randint(0, n)))
